@@ -170,5 +170,5 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
-    schema = docs.select("doc_id").schema.add("held_out", "boolean").add("score", "double").add("predicted", "int")
+    schema = docs.select("doc_id").schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(run, schema)
