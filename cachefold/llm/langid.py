@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -110,7 +111,7 @@ def identify(docs: DataFrame, held_out: Column) -> DataFrame:
     names, folded = (lambda t, g: fit(t, g) if t else ([], np.zeros((SLOTS, 0), np.float32)))(*training_rows(docs, held_out))
     model = docs.sparkSession.sparkContext.broadcast((names, folded))  # 256 KB a language
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")))
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(*model.value)
