@@ -37,7 +37,11 @@ def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log; ``seq`` is the order of arrival."""
-    rows = table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("long"))
+    return kv_events_of(table(spark, sf_dir, "events"))
+
+
+def kv_events_of(events: DataFrame) -> DataFrame:
+    rows = events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("long"))
     op = F.when((_c("event_type") == "signup") & (_c("event_id") % 40 == 0), "all_blocks_cleared").when(_c("event_type") == "error", "block_removed").otherwise("block_stored")
     tier = F.when(_c("event_type") == "click", "cpu_dram").when(_c("event_type") == "purchase", "local_ssd").otherwise("hbm")
     return rows.select(
