@@ -204,7 +204,7 @@ def _secret(text: str, key: bytes) -> str | None:
 
 #: Tried in this order at each place.
 KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
-    "secret": (r"""(?<!\w)(?i:password|passwd|token|secret|api_?key)\s*[=:]\s*["']?[A-Za-z0-9+/_.~-]{8,}""", _secret),
+    "secret": (r"""(?<!\w)(?i:password|passwd|token|secret|api_?key)\s*[=:]\s*["']?[A-Za-z0-9+/_.~-]{7,}[A-Za-z0-9+/_]""", _secret),
     "access": (r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", _access_key),
     "email": (r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
