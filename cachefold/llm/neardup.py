@@ -168,38 +168,41 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return marked.join(several, "bucket")
 
 
-def _remaining_links(members: DataFrame, sets: DataFrame, salt_rows: int = BLOCK) -> DataFrame:
-    """Links between different components in the buckets left open, all of them, compared in blocks of members.
+def _remaining_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components in the buckets left open, all of them.
 
-    A bucket of n members becomes ceil(n / BLOCK) hashed blocks, and each pair of blocks is one group of work; a pair of
-    members is compared in the first bucket that it shares only.
+    Each bucket has a main component, its most frequent one; what is compared are the members outside it with all
+    members. Both sides are dealt into hashed blocks, and each pair of blocks is one group of work, so a bucket of n
+    members with s outside gives about n * ceil(s / BLOCK) + s * ceil(n / BLOCK) rows. A pair is compared in the first
+    bucket that it shares only.
     """
-    count = members.groupBy("bucket").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("blocks"))
-    dealt = members.join(count, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    work = dealt.select("bucket", "rep", "n", "label", "bands", "block", other)
-    work = work.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "label", "bands")
-    work = work.join(sets, ["rep", "n"])
+    count = members.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    count = count.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("n_all"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    count = count.select("bucket", F.col("main.label").alias("main"), blocks(F.col("n_all")).alias("nb"), blocks(F.col("n_all") - F.col("main.c")).alias("sb"))
+    dealt = members.join(count, "bucket").withColumn("outside", F.col("label") != F.col("main"))
+    place = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["bucket", "rep", "n", "label", "bands", "outside"]
+    one = dealt.where("outside").select(*kept, place("sb", 1).alias("i"), every("nb").alias("j"), F.lit(True).alias("asks"))
+    all_ = dealt.select(*kept, every("sb").alias("i"), place("nb", 2).alias("j"), F.lit(False).alias("asks"))
+    work = one.unionByName(all_).join(sets, ["rep", "n"])
 
     def run(key, pdf):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        bucket, i, j = key
-        pdf = pdf.sort_values("rep")
-        left, right = (pdf[pdf.block == i], pdf[pdf.block == j])
-        items = {r: np.frombuffer(x, np.uint64) for r, x in zip(pdf.rep, pdf["items"], strict=True)}
-        bands = {r: np.asarray(x) for r, x in zip(pdf.rep, pdf.bands, strict=True)}
-        n, label, reps = right.n.to_numpy(), right.label.to_numpy(), right.rep.to_numpy()
-        many = np.stack([bands[r] for r in reps]) if len(reps) else np.zeros((0, BANDS))
-        out = []
-        for r, size, own in zip(left.rep, left.n, left.label, strict=True):
-            near = (label != own) & (np.minimum(n, size) * 100 >= np.maximum(n, size) * SIMILAR)
-            if i == j:
-                near &= reps > r
-            for at in np.flatnonzero(near):
-                shared = bands[r][many[at] == bands[r]]
-                if shared[0] == bucket and similar(items[r], items[reps[at]]):
-                    out.append((min(r, reps[at]), max(r, reps[at])))
+        bucket, out = key[0], []
+        left, right = pdf[pdf.asks], pdf[~pdf.asks]
+        if len(left) and len(right):
+            many = np.stack(right.bands.to_numpy())
+            n, label, reps, outside = (right[c].to_numpy() for c in ("n", "label", "rep", "outside"))
+            items = [np.frombuffer(x, np.uint64) for x in right["items"]]
+            for r, size, own, bands, mine in zip(left.rep, left.n, left.label, left.bands, left["items"], strict=True):
+                near = (label != own) & (np.minimum(n, size) * 100 >= np.maximum(n, size) * SIMILAR)
+                near &= ~outside | (reps > r)  # two members outside meet twice
+                near &= np.asarray(bands)[(many == bands).argmax(axis=1)] == bucket
+                mine = np.frombuffer(mine, np.uint64)
+                out += [(min(r, reps[at]), max(r, reps[at])) for at in np.flatnonzero(near) if similar(mine, items[at])]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return work.groupBy("bucket", "i", "j").applyInPandas(run, "u long, v long")
