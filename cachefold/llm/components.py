@@ -32,7 +32,8 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Self links and null ends are ignored; repeated links count once; an empty table gives an empty table.
     """
-    at = materialize(links.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct(), "links")
+    down = links.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
+    at = materialize(down.distinct(), "links")
     for _ in range(max_rounds):
         if _settled(at):
             return at.select("u", F.col("v").alias("component"))

@@ -87,3 +87,8 @@ def test_components_of_paths_stars_and_repeats(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, j) for j in range(101, 140)] + [(7, 7), (100, 101), (140, 139), (200, 201), (201, 200)]
     got = {r.u: r.component for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 31)}, **{j: 100 for j in range(101, 141)}, 201: 200}
+
+
+def test_components_of_lone_pairs(spark):
+    links = spark.createDataFrame([(1, 9), (7, 3)], "u long, v long")
+    assert {(r.u, r.component) for r in connected_components(links).collect()} == {(9, 1), (7, 3)}
