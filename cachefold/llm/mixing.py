@@ -34,8 +34,8 @@ def words(text: str = "text") -> Column:
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
-    """(source, source_size, target, ratio) from (source, size): one row a source, so its one ordered pass is small."""
-    sizes = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    """(source, source_size, target, ratio, documents) from (source, size): one row a source, so its one ordered pass is small."""
+    sizes = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("documents"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).cast("int"))
     sizes = sizes.withColumn("weight", weight).withColumn("cap", MOST * F.col("source_size"))
@@ -47,7 +47,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
     target = F.least(F.col("cap").cast("double"), level * F.col("weight"))
     out = sizes.withColumn("level", rest / free).withColumn("target", target)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return out.select("source", "source_size", "target", F.least(ratio, F.lit(float(MOST))).alias("ratio"))
+    return out.select("source", "source_size", "target", F.least(ratio, F.lit(float(MOST))).alias("ratio"), "documents")
 
 
 def _draw(level: int, what: str, *on: Column) -> Column:
@@ -104,25 +104,23 @@ def mix_sized(sized: DataFrame) -> DataFrame:
     numbers = targets.select("source", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("s"))
     numbers = numbers.withColumnRenamed("source", "name")
     open_items = alike.where("p > 0 and size > 0").join(numbers, F.col("source").eqNullSafe(F.col("name")))
-    at = open_items.select("s", "doc_id", "size", "n", "p")
-    most = at.groupBy("s").count().agg(F.max("count")).first()[0] or 0
+    # Groups of GROUP documents by hash, then groups of GROUP groups' leftovers, until a source has one group.
+    at = open_items.select("s", F.ceil(F.col("documents") / GROUP).alias("groups"), "doc_id", "size", "n", "p")
+    left = targets.agg(F.ceil(F.max("documents") / GROUP)).first()[0] or 0
     found, level = [], 0
-    while most:
-        # At the last level one group holds all that is left of a source, below it they are groups of GROUP by hash.
-        groups = F.greatest(F.lit(1), F.ceil(F.col("in_source") / GROUP)).cast("int")
-        count = at.groupBy("s").agg(F.count("*").alias("in_source"))
-        dealt = at.join(count, "s")
-        place = F.floor(_draw(level, "group", F.col("doc_id"), F.col("size")) * groups).cast("int")
+    while left:
+        place = F.floor(_draw(level, "group", F.col("doc_id"), F.col("size")) * F.col("groups")).cast("int")
         item = F.struct(_draw(level, "pair", F.col("doc_id"), F.col("size")).alias("u"), "doc_id", "size", "n", "p")
-        folded = dealt.groupBy("s", place.alias("g")).agg(F.collect_list(item).alias("items")).select("s", _fold(level).alias("x"))
+        folded = at.groupBy("s", place.alias("g"), "groups").agg(F.collect_list(item).alias("items")).select("s", "groups", _fold(level).alias("x"))
         folded = materialize(folded, "folded")
         found.append(folded.select("s", F.explode("x.done").alias("d")).select("s", "d.*"))
-        at = folded.where("x.open is not null").select("s", "x.open.doc_id", "x.open.size", "x.open.n", "x.open.p")
-        before, most, level = most, at.groupBy("s").count().agg(F.max("count")).first()[0] or 0, level + 1
-        if most <= 1 or most >= before:
+        at = folded.where("x.open is not null").select("s", F.ceil(F.col("groups") / GROUP).alias("groups"), "x.open.doc_id", "x.open.size", "x.open.n", "x.open.p")
+        level += 1
+        if left == 1:
             last = (_draw(level, "last", F.col("doc_id"), F.col("size")) < F.col("p")).cast("int")
             found.append(at.select("s", "doc_id", "size", "n", last.alias("up")))
             break
+        left = -(-left // GROUP)
     copies = F.floor("ratio").cast("int")
     kept = ["doc_id", "size", "source_size", "target", "source", "n"]
     plain = alike.where("not (p > 0 and size > 0)").select(*kept, copies.alias("copies"))
