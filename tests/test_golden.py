@@ -192,3 +192,15 @@ def test_access_classes_match_a_plain_cascade(spark, monkeypatch):
 def test_positions_do_not_depend_on_runs(spark):
     df = spark.createDataFrame([(k,) for k in (5, 70, 3, 900, 64, 65)], "k long")
     assert {r.k: r.place for r in with_position(df, "k", "place", width=64).collect()} == {3: 0, 5: 1, 64: 2, 65: 3, 70: 4, 900: 5}
+
+
+def test_torn_and_corrupt_logs(spark, tmp_path):
+    from cachefold.sources.logs import frame, read_frames
+
+    whole = frame(b'{"op":"a"}') + frame(b'{"op":"b"}')
+    flipped = bytearray(whole)
+    flipped[10] ^= 1
+    for name, data in (("whole", whole), ("torn", whole[:-3]), ("flipped", bytes(flipped)), ("empty", b"")):
+        (tmp_path / name).write_bytes(data)
+    rows = read_frames(spark, str(tmp_path)).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.seq) for r in rows) == [("torn", 0), ("whole", 0), ("whole", 1)]
