@@ -144,7 +144,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     share = F.when(F.col("label") == 1, min(1.0, SAMPLE / count.get(1, 1))).otherwise(min(1.0, SAMPLE / count.get(0, 1)))
     some = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30) < share)
-    rows = docs.where("text is not null").select("doc_id", "text").join(some, "doc_id")
+    # Two numbers for about 2 * SAMPLE rows, however many documents there are: small enough to broadcast.
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")
     rows = rows.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "label", "text").select("text", "label").collect()
     return [r["text"].encode("utf-8", "surrogatepass") for r in rows], [r["label"] for r in rows]
 
