@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 LANDMARKS = 48  # a language
-SAMPLE = 250  # training rows a language, about: the bound on what is fitted
+SAMPLE = 250  # training rows a language, about, and
+LANGUAGES = 256  # languages, the most frequent ones: the bounds on what is fitted
 RIDGE = 1e-2
 UNKNOWN = "und"
 BATCH = 32
@@ -79,7 +80,7 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
 def training_rows(docs: DataFrame, held_out: Column) -> tuple[list[str], list[str]]:
     """About ``SAMPLE`` rows a language, chosen by a hash of the id: (texts, langs), in a fixed order."""
     known = docs.where("text is not null and lang is not null").where(~held_out)
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return [], []
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(1 << 30)) / float(1 << 30)

@@ -27,12 +27,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates; rows that repeat an id are kept once."""
+    """Keeps the document of smallest id of each group of near-duplicates.
+
+    Rows equal in id and text are kept once; rows without an id have no group and stay.
+    """
     kept = near_duplicates(docs, k=SHINGLE).where("kept").select("doc_id").distinct()
     whole = docs.join(kept, "doc_id", "left_semi")
-    order = [c for c in docs.columns if c != "doc_id"]
-    first = whole.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row"))
-    return first.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = whole.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others))).alias("row"))
+    once = first.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,6 +102,14 @@ def test_stages_take_odd_rows(spark, sf, name):
     stage(spark, odd, sf).collect()
 
 
+def test_rows_without_an_id_survive_near_dedup(spark, sf):
+    import corpus_pipeline as P
+
+    rows = [(1, "the cat sat on the mat today", "b"), (1, "the cat sat on the mat today", "a"), (2, "The cat sat on the mat today", "a"), (None, "the cat sat on the mat today", "a"), (3, None, "a")]
+    got = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), sf).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
 def test_registered_queries_have_rows(spark, sf):
     assert set(Q.queries()) == {f"op{i}_{n}" for i, n in ((1, "quality"), (2, "minhash"), (3, "warc"), (4, "pii"), (5, "ann"), (6, "language"), (7, "packing"), (8, "topk"), (9, "chat"), (10, "mixing"))} | {"pipeline"}
 
