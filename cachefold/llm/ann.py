@@ -23,6 +23,8 @@ from .common import materialize
 PROJECTED = 8
 SURE = 0.99
 SEED = 5
+ROUND = 1024  # queries searched together in a cell
+ROUNDING = 1e-12  # of squared distances
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
@@ -58,30 +60,55 @@ def _kernel(k: int, limit: float, dim: int):  # noqa: ANN202
         low = np.stack([points[g].min(axis=0) for g in groups])
         high = np.stack([points[g].max(axis=0) for g in groups])
         out: tuple[list, list, list] = ([], [], [])
-        for who, q, y, bound in zip(query_ids, asked, targets, bounds, strict=True):
-            gap = (np.maximum(np.maximum(low - y, y - high), 0) ** 2).sum(axis=1)
-            found, score, kth = np.zeros(0, np.int64), np.zeros(0), bound
-            for leaf in np.argsort(gap):
-                if gap[leaf] > limit * kth:
-                    break  # the test holds for all leaves that are left
-                rows = groups[leaf]
-                rows = rows[(((points[rows] - y) ** 2).sum(axis=1) <= limit * kth) & (ids[rows] != who)]
-                if not len(rows):
-                    continue
-                # The same sum for every row, so that equal vectors tie exactly.
-                found, score = np.append(found, rows), np.append(score, (unit[rows] * q).sum(axis=1))
-                top = np.lexsort((ids[found], -score))[:k]
-                found, score = found[top], score[top]
-                if len(found) == k:
-                    kth = min(kth, max(2 - 2 * score[-1], 0.0) + 1e-12)
-            out[0].extend([who] * len(found))
-            out[1].extend(ids[found])
-            out[2].extend(np.clip(score, -1.0, 1.0))
-        return out
+        for at in range(0, len(asked), ROUND):
+            part = slice(at, at + ROUND)
+            who, row, score = _search_cell(ids, unit, groups, low, high, query_ids[part], asked[part], targets[part], bounds[part].copy(), k, limit)
+            out[0].append(query_ids[part][who])
+            out[1].append(ids[row])
+            out[2].append(np.clip(score, -1.0, 1.0))
+        return [np.concatenate(x) for x in out]
 
     return run
 
 
+def _search_cell(ids, unit, groups, low, high, query_ids, asked, targets, kth, k, limit):  # noqa: ANN001, ANN202
+    """(query number, row, score) of the k best rows of a cell for each query that are as near as its bound ``kth``.
+
+    In each round every query that the test still leaves takes its next leaf, nearest first; the queries that take the
+    same leaf are verified by one matrix product.
+    """
+    gap = np.zeros((len(asked), len(groups)))
+    for d in range(targets.shape[1]):
+        y = targets[:, d, None]
+        gap += np.maximum(np.maximum(low[:, d] - y, y - high[:, d]), 0) ** 2
+    order = gap.argsort(axis=1, kind="stable")
+    top = np.full((len(asked), k), -np.inf)
+    left, found = np.arange(len(asked)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for turn in range(len(groups)):
+        left = left[gap[left, order[left, turn]] <= limit * kth[left]]  # the test holds for all leaves that others have left
+        if not len(left):
+            break
+        leaf = order[left, turn]
+        by_leaf = leaf.argsort(kind="stable")
+        for mine in np.split(left[by_leaf], np.flatnonzero(np.diff(leaf[by_leaf])) + 1):
+            rows = groups[order[mine[0], turn]]
+            score = asked[mine] @ unit[rows].T
+            score[ids[rows] == query_ids[mine, None]] = -np.inf
+            top[mine] = np.partition(np.concatenate([top[mine], score], axis=1), -k, axis=1)[:, -k:]
+            kth[mine] = np.minimum(kth[mine], np.maximum(2 - 2 * top[mine].min(axis=1), 0.0) + ROUNDING)
+            q, p = np.nonzero(np.isfinite(score) & (2 - 2 * score <= kth[mine, None] + ROUNDING))
+            found.append((mine[q], rows[p]))
+    q, p = (np.concatenate(x) for x in zip(*found, strict=True))
+    # The same sum for every row, so that equal vectors tie exactly.
+    score = np.concatenate([np.zeros(0), *((unit[p[i : i + 8192]] * asked[q[i : i + 8192]]).sum(axis=1) for i in range(0, len(p), 8192))])
+    near = 2 - 2 * score <= kth[q] + ROUNDING
+    q, p, score = q[near], p[near], score[near]
+    best_first = np.lexsort((ids[p], -score, q))
+    q, p, score = q[best_first], p[best_first], score[best_first]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], p[first], score[first]
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of ``vectors`` (vec_id, embedding, ...); ``is_query`` is a condition on vec_id."""
     nonzero = lambda v: F.exists(v, lambda x: x != 0)
