@@ -17,13 +17,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cells import CELL, Tree, best, copies_limited, leaves, sample, search, usable, visits_of
+from .cells import CELL, ROUND, Tree, best, copies_limited, k_best, leaves, rounds, sample, search, usable, visits_of
 from .common import materialize
 
 PROJECTED = 8
 SURE = 0.99
 SEED = 5
-ROUND = 1024  # queries searched together in a cell
 ROUNDING = 1e-12  # of squared distances
 
 
@@ -81,31 +80,23 @@ def _search_cell(ids, unit, groups, low, high, query_ids, asked, targets, kth, k
     for d in range(targets.shape[1]):
         y = targets[:, d, None]
         gap += np.maximum(np.maximum(low[:, d] - y, y - high[:, d]), 0) ** 2
-    order = gap.argsort(axis=1, kind="stable")
     top = np.full((len(asked), k), -np.inf)
-    left, found = np.arange(len(asked)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for turn in range(len(groups)):
-        left = left[gap[left, order[left, turn]] <= limit * kth[left]]  # the test holds for all leaves that others have left
-        if not len(left):
-            break
-        leaf = order[left, turn]
-        by_leaf = leaf.argsort(kind="stable")
-        for mine in np.split(left[by_leaf], np.flatnonzero(np.diff(leaf[by_leaf])) + 1):
-            rows = groups[order[mine[0], turn]]
-            score = asked[mine] @ unit[rows].T
-            score[ids[rows] == query_ids[mine, None]] = -np.inf
-            top[mine] = np.partition(np.concatenate([top[mine], score], axis=1), -k, axis=1)[:, -k:]
-            kth[mine] = np.minimum(kth[mine], np.maximum(2 - 2 * top[mine].min(axis=1), 0.0) + ROUNDING)
-            q, p = np.nonzero(np.isfinite(score) & (2 - 2 * score <= kth[mine, None] + ROUNDING))
-            found.append((mine[q], rows[p]))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    # A query ends where the test holds for all leaves that are left.
+    for mine, leaf in rounds(gap.argsort(axis=1, kind="stable"), lambda q, leaf: gap[q, leaf] <= limit * kth[q]):
+        rows = groups[leaf]
+        score = asked[mine] @ unit[rows].T
+        score[ids[rows] == query_ids[mine, None]] = -np.inf
+        top[mine] = np.partition(np.concatenate([top[mine], score], axis=1), -k, axis=1)[:, -k:]
+        kth[mine] = np.minimum(kth[mine], np.maximum(2 - 2 * top[mine].min(axis=1), 0.0) + ROUNDING)
+        q, p = np.nonzero(np.isfinite(score) & (2 - 2 * score <= kth[mine, None] + ROUNDING))
+        found.append((mine[q], rows[p]))
     q, p = (np.concatenate(x) for x in zip(*found, strict=True))
     # The same sum for every row, so that equal vectors tie exactly.
     score = np.concatenate([np.zeros(0), *((unit[p[i : i + 8192]] * asked[q[i : i + 8192]]).sum(axis=1) for i in range(0, len(p), 8192))])
     near = 2 - 2 * score <= kth[q] + ROUNDING
     q, p, score = q[near], p[near], score[near]
-    best_first = np.lexsort((ids[p], -score, q))
-    q, p, score = q[best_first], p[best_first], score[best_first]
-    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    first = k_best(q, ids[p], score, k)
     return q[first], p[first], score[first]
 
 

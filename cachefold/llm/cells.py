@@ -19,6 +19,7 @@ CELL = 512
 MOST_CELLS = 2048
 QUERY_BLOCK = 4096
 LEAF = 32
+ROUND = 1024  # queries searched together in a cell
 
 
 class Tree:
@@ -71,6 +72,28 @@ def leaves(points: np.ndarray, size: int = LEAF) -> list[np.ndarray]:
     return done
 
 
+def rounds(order: np.ndarray, still: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, int]]:
+    """(query numbers, leaf): in each round every query takes its next leaf in ``order`` (queries x leaves), and the
+    queries that take the same leaf come together. A query ends at the first leaf that ``still(queries, leaves)`` denies.
+    """
+    left = np.arange(len(order))
+    for turn in range(order.shape[1]):
+        left = left[still(left, order[left, turn])]
+        if not len(left):
+            return
+        leaf = order[left, turn]
+        by_leaf = leaf.argsort(kind="stable")
+        for mine in np.split(left[by_leaf], np.flatnonzero(np.diff(leaf[by_leaf])) + 1):
+            yield mine, int(order[mine[0], turn])
+
+
+def k_best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores of each query number, in order; ties to smaller ids."""
+    best_first = np.lexsort((ids, -score, q))
+    q = q[best_first]
+    return best_first[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """An array column of equal lengths as a matrix."""
     if isinstance(column, pa.ChunkedArray):

@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cells import CELL, Tree, best, copies_limited, leaves, matrix, sample, search, usable, visits_of
+from .cells import CELL, ROUND, Tree, best, copies_limited, k_best, leaves, matrix, rounds, sample, search, usable, visits_of
 from .common import materialize
 
 BLOCK = 32
 SCALE = 256
 LARGEST = float(1 << 28)
+NONE = np.iinfo(np.int64).min  # less than any score
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,27 +46,48 @@ def _kernel(k: int):  # noqa: ANN202
         blocks = leaves(vectors, BLOCK)
         high = np.stack([vectors[b].max(axis=0) for b in blocks])
         low = np.stack([vectors[b].min(axis=0) for b in blocks])
-        upper = bounds(queries, high, low)
         out: tuple[list, list, list] = ([], [], [])
-        for who, q, bound, kth in zip(query_ids, queries, upper, least, strict=True):
-            found, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for b in np.argsort(-bound, kind="stable"):
-                if bound[b] < kth:
-                    break
-                rows = blocks[b][ids[blocks[b]] != who]
-                found, score = np.append(found, rows), np.append(score, _products(q[None], vectors[rows])[0])
-                top = np.lexsort((ids[found], -score))[:k]
-                found, score = found[top], score[top]
-                if len(found) == k:
-                    kth = max(kth, score[-1])
-            out[0].extend([who] * len(found))
-            out[1].extend(ids[found])
-            out[2].extend(score)
-        return out[0], out[1], np.array(out[2], np.int64)
+        for at in range(0, len(queries), ROUND):
+            part = slice(at, at + ROUND)
+            upper = bounds(queries[part], high, low)
+            who, row, score = _search_range(ids, vectors, blocks, upper, query_ids[part], queries[part], least[part].copy(), k)
+            out[0].append(query_ids[part][who])
+            out[1].append(ids[row])
+            out[2].append(score)
+        return [np.concatenate(x) for x in out]
 
     return run
 
 
+def _search_range(ids, vectors, blocks, upper, query_ids, queries, kth, k):  # noqa: ANN001, ANN202
+    """(query number, row, score) of the k best rows of a range for each query that reach its bound ``kth``.
+
+    Each query takes the blocks in falling order of their bounds until one falls below its k-th score; the queries that
+    take the same block in a round are scored by one matrix product.
+    """
+    top = np.full((len(queries), k), NONE)
+    found = [(np.zeros(0, np.int64),) * 3]
+    for mine, block in rounds((-upper).argsort(axis=1, kind="stable"), lambda q, block: upper[q, block] >= kth[q]):
+        rows = blocks[block]
+        score = _products(queries[mine], vectors[rows])
+        score[ids[rows] == query_ids[mine, None]] = NONE
+        top[mine] = np.partition(np.concatenate([top[mine], score], axis=1), -k, axis=1)[:, -k:]
+        least = top[mine].min(axis=1)
+        kth[mine] = np.where(least > NONE, np.maximum(kth[mine], below(least)), kth[mine])
+        q, p = np.nonzero((score > NONE) & (score >= kth[mine, None]))
+        found.append((mine[q], rows[p], score[q, p]))
+    q, p, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    near = score >= kth[q]
+    q, p, score = q[near], p[near], score[near]
+    first = k_best(q, ids[p], score, k)
+    return q[first], p[first], score[first]
+
+
+def below(score: np.ndarray) -> np.ndarray:
+    """Doubles that rounding does not lift over the integer scores."""
+    return score - np.abs(score) * 1e-15
+
+
 def top_products(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of ``vectors`` (vec_id, embedding, ...); ``is_query`` is a condition on vec_id."""
     weight = lambda x: F.floor(x * SCALE).cast("double")
