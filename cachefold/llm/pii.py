@@ -1,6 +1,7 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations.
 
 Found values are validated first (Luhn, area rules, mod 97, the calendar, octets); a value that does not validate stays.
+Phone numbers are told by their written form alone, as area codes that are not in use are written down, too.
 A valid one is permuted inside its own format: digits stay digits, separators stay, and the result validates again
 (cycle walking), so card numbers remain card numbers and dates remain dates. The permutation depends on the key and the
 kind of value only: equal values get equal pseudonyms in all documents, and the key's owner can invert them.
@@ -100,7 +101,9 @@ def _nanp(d: tuple[int, ...]) -> bool:
 def _phone(text: str, key: bytes) -> str | None:
     digits = _of(text)
     head, national = digits[:-10], digits[-10:]
-    return _laid(text, head + walk(national, 10, key, "phone", _nanp)) if _nanp(national) else None
+    # Numbers by the plan and others are permuted among themselves.
+    planned = _nanp(national)
+    return _laid(text, head + walk(national, 10, key, "phone", lambda d: _nanp(d) == planned))
 
 
 def _abroad(text: str, key: bytes) -> str | None:
@@ -208,7 +211,7 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "access": (r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", _access_key),
     "email": (r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    "phone": (r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)", _phone),
+    "phone": (r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|(?:1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\w)", _phone),
     "abroad": (r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\d{2,4}){2,5}(?!\w)", _abroad),
     "card": (r"(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])", _card),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),

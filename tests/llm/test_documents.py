@@ -168,6 +168,25 @@ def test_what_does_not_validate_stays(text):
     assert pii.pseudonymized(text) == (text, 0)
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "+1 (136) 555-7479", "(017) 555-7713", "136-555-7479", "988-155-2485", "+15551234567", "+10175557713", "+1 9885552485", "1 (988) 555-2485"])
+def test_phones_are_told_by_their_form(value):
+    text, n = pii.pseudonymized(f"call {value}, now")
+    new = text.removeprefix("call ").removesuffix(", now")
+    assert n == 1 and new != value and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", value)
+    assert pii._nanp(pii._of(new)[-10:]) == pii._nanp(pii._of(value)[-10:]) and pii._of(new)[:-10] == pii._of(value)[:-10]
+    assert pii.pseudonymized(value)[0] == new
+
+
+def test_phones_are_permuted_one_to_one():
+    for area in ("017", "136", "988"):
+        values = [f"+1 ({area}) 555-{i:04d}" for i in range(500)]
+        assert len({pii.pseudonymized(v)[0] for v in values}) == 500
+    for planned, head in ((False, "017"), (True, "988")):
+        d = pii._of(f"{head}5557713")
+        new = pii._of(pii.pseudonymized(f"+1{head}5557713")[0])[-10:]
+        assert pii.walk(new, 10, pii.KEY, "phone", lambda x, planned=planned: pii._nanp(x) == planned, invert=True) == d
+
+
 def test_permutations_are_bijective():
     for n in (1, 2, 3):
         values = [pii._digits(i, 10, n) for i in range(10**n)]
