@@ -173,6 +173,14 @@ def _date(text: str, key: bytes) -> str | None:
     return None
 
 
+#: The characters of an IBAN by its country.
+_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LENGTHS = {country: n for n, countries in _COUNTRIES.items() for country in countries.split()}
+
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _HEX = "0123456789abcdef"
 
@@ -232,21 +240,42 @@ def _one_pattern() -> re.Pattern[str]:
 
 
 _PATTERN = _one_pattern()
+_NAMES = list(KINDS)
+_ALONE = {kind: re.compile(pattern) for kind, (pattern, _) in KINDS.items()}
+
+
+def _ends(kind: str, text: str) -> list[int]:
+    """Where a match may end: an IBAN that ran into the words behind it also before each of them, its country's length first."""
+    if kind != "iban":
+        return [len(text)]
+    ends = [m.start() for m in re.finditer(" |$", text)]
+    return sorted(ends, key=lambda e: (len(text[:e].replace(" ", "")) != IBAN_LENGTHS.get(text[:2]), -e))
+
+
+def _validated(m: re.Match[str], key: bytes) -> tuple[int, str] | None:
+    """The end and the pseudonym of the first kind that validates where ``m`` begins."""
+    for kind in _NAMES[_NAMES.index(m.lastgroup) :]:
+        own = m if kind == m.lastgroup else _ALONE[kind].match(m.string, m.start())
+        for end in _ends(kind, own[0]) if own else ():
+            new = KINDS[kind][1](own[0][:end], key)
+            if new is not None:
+                return own.start() + end, new
+    return None
 
 
 def pseudonymized(text: str, key: bytes = KEY) -> tuple[str, int]:
     """The text with its personal data permuted, and the number of values found."""
     if not _MAYBE.search(text):
         return text, 0
-    found = 0
-
-    def change(m: re.Match[str]) -> str:
-        nonlocal found
-        new = KINDS[m.lastgroup][1](m[0], key)
-        found += new is not None
-        return m[0] if new is None else new
-
-    return _PATTERN.sub(change, text), found
+    out, done, at, found = [], 0, 0, 0
+    while m := _PATTERN.search(text, at):
+        # Behind a value that does not validate, the search goes on inside it.
+        at = m.start() + 1
+        if (hit := _validated(m, key)) is not None:
+            out += [text[done : m.start()], hit[1]]
+            done = at = hit[0]
+            found += 1
+    return "".join(out) + text[done:], found
 
 
 def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:

@@ -187,6 +187,22 @@ def test_phones_are_permuted_one_to_one():
         assert pii.walk(new, 10, pii.KEY, "phone", lambda x, planned=planned: pii._nanp(x) == planned, invert=True) == d
 
 
+@pytest.mark.parametrize("behind", ["EUR", "USD 100", "BIC GIBAATWW", "PAYABLE NOW", "2024", "and more"])
+@pytest.mark.parametrize("value", ["AT61 1904 3002 3457 3201", "ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "BE68 5390 0754 7034"])
+def test_ibans_end_before_other_words(value, behind):
+    text, n = pii.pseudonymized(f"to {value} {behind}")
+    new = text.removeprefix("to ")[: len(value)]
+    assert n == 1 and text == f"to {new} {behind}" and new != value and pii._mod97(new.replace(" ", "")) == 1
+    assert [len(x) for x in new.split()] == [len(x) for x in value.split()] and pii.pseudonymized(value)[0] == new
+
+
+@pytest.mark.parametrize("inside", ["4041 8949 7460 8795", "988-555-2485", "AT61 1904 3002 3457 3201"])
+def test_a_rejected_match_is_searched_inside(inside):
+    alone = pii.pseudonymized(inside)[0]
+    assert alone != inside and pii.pseudonymized(f"NR12 ABCD EFGH {inside}") == (f"NR12 ABCD EFGH {alone}", 1)
+    assert pii.pseudonymized(f"AT61 1904 3002 3457 3201 {inside}")[1] == 2
+
+
 def test_permutations_are_bijective():
     for n in (1, 2, 3):
         values = [pii._digits(i, 10, n) for i in range(10**n)]
