@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cachefold.functions.columns import percent, small_float_down, small_float_up, small_float_value
-from cachefold.functions.frames import first_by
+from cachefold.functions.frames import BROADCAST_ROWS, first_by
 from cachefold.plans.registry import query
 from cachefold.sources import tables as S
 
@@ -228,15 +228,39 @@ def small_float_bins(spark: SparkSession, sf: str) -> DataFrame:
   FROM q JOIN s ON s.free >= q.size AND s.segment_name <> q.excluded) c ON c.object_key = q.object_key AND c.r <= 2) t GROUP BY 1""", "objects", seg=SEGMENTS,
   s="SELECT segment_name, capacity, capacity - allocated AS free FROM seg", q="SELECT object_key, size, segment_name AS excluded, (SELECT max(segment_name) FROM seg) AS preferred FROM objects WHERE last_access % 20 = 0"))
 def segment_candidates(spark: SparkSession, sf: str, copies: int = 2) -> DataFrame:
-    """Where ``copies`` replicas of an object go: segments that fit, the preferred one first, then by free share."""
+    """``segment_placement`` for the objects last used at a multiple of 20, as its SQL has it."""
     objects = S.objects(spark, sf)
-    seg = segments(objects).select(F.col("segment_name").alias("s"), "capacity", (F.col("capacity") - F.col("allocated")).alias("free"))
-    asked = objects.where("last_access % 20 = 0").select("object_key", "size", F.col("segment_name").alias("excluded")).join(seg.agg(F.max("s").alias("preferred")))
-    fits = asked.join(seg, (F.col("free") >= F.col("size")) & (F.col("s") != F.col("excluded")))
-    order = [F.when(F.col("s") == F.col("preferred"), 0).otherwise(1).asc(), (F.col("free").cast("double") / F.col("capacity")).desc(), F.col("s").asc()]
-    chosen = first_by(fits, ["object_key"], order, "r", copies).groupBy("object_key").agg(F.array_sort(F.collect_list(F.struct("r", "s"))).alias("x"))
-    rows = asked.select("object_key").join(chosen, "object_key", "left")
-    return rows.select("object_key", F.array_join(F.col("x.s"), ",").alias("placed"), F.when(F.coalesce(F.size("x"), F.lit(0)) < copies, "no_available_segment").otherwise("ok").alias("outcome"))
+    return placements(objects.where("last_access % 20 = 0"), segments(objects), copies)
+
+
+def placements(asked: DataFrame, held: DataFrame, copies: int = 2) -> DataFrame:
+    """Where ``copies`` replicas of an object go: segments that fit, the preferred one first, then by free share.
+
+    The segments are ranked once; few of them go to the objects as one array, many meet them in a join.
+    """
+    seg = held.select(F.col("segment_name").alias("s"), "capacity", (F.col("capacity") - F.col("allocated")).alias("free"))
+    seg = seg.join(F.broadcast(seg.agg(F.max("s").alias("preferred"))))
+    order = [F.when(F.col("s") == F.col("preferred"), 0).otherwise(1).alias("other"), (-F.col("free").cast("double") / F.col("capacity")).alias("share"), F.col("s")]
+    asked = asked.select("object_key", "size", F.col("segment_name").alias("excluded"))
+    if len(seg.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
+        fleet = seg.agg(F.array_sort(F.collect_list(F.struct(*order, "free"))).alias("fleet"))
+        fit = F.filter("fleet", lambda x: (x["free"] >= F.col("size")) & (x["s"] != F.col("excluded")))
+        rows = asked.join(F.broadcast(fleet)).select("object_key", F.slice(fit, 1, copies).alias("x"))
+    else:
+        fits = asked.join(seg, (F.col("free") >= F.col("size")) & (F.col("s") != F.col("excluded")))
+        chosen = first_by(fits, ["object_key"], order, "r", copies).groupBy("object_key").agg(F.array_sort(F.collect_list(F.struct("r", "s"))).alias("x"))
+        rows = asked.select("object_key").join(chosen, "object_key", "left")
+    return rows.select("object_key", F.when(F.size("x") > 0, F.array_join(F.col("x.s"), ",")).alias("placed"), F.when(F.coalesce(F.size("x"), F.lit(0)) < copies, "no_available_segment").otherwise("ok").alias("outcome"))
+
+
+@query("segment_placement", S.sql("""SELECT object_key, nullif(concat_ws(',', p[1], p[2]), '') AS placed, CASE WHEN len(p) < 2 THEN 'no_available_segment' ELSE 'ok' END AS outcome FROM (
+  SELECT q.object_key, coalesce(list(s.segment_name ORDER BY CASE WHEN s.segment_name = s.preferred THEN 0 ELSE 1 END, s.free * 1.0::DOUBLE / s.capacity DESC, s.segment_name) FILTER (WHERE s.segment_name IS NOT NULL), []) AS p
+  FROM objects q LEFT JOIN s ON s.free >= q.size AND s.segment_name <> q.segment_name GROUP BY 1) t""", "objects", seg=SEGMENTS,
+  s="SELECT segment_name, capacity, capacity - allocated AS free, (SELECT max(segment_name) FROM seg) AS preferred FROM seg"))
+def segment_placement(spark: SparkSession, sf: str, copies: int = 2) -> DataFrame:
+    """A placement of every object."""
+    objects = S.objects(spark, sf)
+    return placements(objects, segments(objects), copies)
 
 
 NICS = "SELECT s.s_suppkey AS location, n.n_nationkey AS nic, (s.s_suppkey * 31 + n.n_nationkey * 17) % 4 AS distance FROM supplier s JOIN nation n ON n.n_regionkey = s.s_suppkey % 5"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cachefold.functions import columns as C
 from cachefold.functions.frames import with_position
 from cachefold.operators import cosched, identity, index, planner, prefix, store, telemetry, tiers
+from cachefold.sources import tables as S
 
 WORKERS = "worker_id string, ord long, role string, locality_domain string, hbm_capacity_bytes long, hbm_used_bytes long, queued_prefill_tokens long, running_decodes long"
 RESIDENT = "worker_id string, tenant_id string, adapter_id string, prefix_hash string, block_hash string, block_index long, token_count long, tier string, put_seq long, bytes long"
@@ -204,3 +205,18 @@ def test_torn_and_corrupt_logs(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     rows = read_frames(spark, str(tmp_path)).collect()
     assert sorted((r.path.rsplit("/", 1)[1], r.seq) for r in rows) == [("torn", 0), ("whole", 0), ("whole", 1)]
+
+
+def test_every_object_is_placed(spark, sf, monkeypatch):
+    objects = S.objects(spark, sf)
+    placed = {r.object_key: (r.placed, r.outcome) for r in store.segment_placement(spark, sf).collect()}
+    assert set(placed) == {r.object_key for r in objects.collect()}
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
+    assert {r.object_key: (r.placed, r.outcome) for r in store.segment_placement(spark, sf).collect()} == placed
+
+
+def test_placement_order(spark):
+    held = spark.createDataFrame([("a", 100, 50), ("b", 100, 10), ("c", 100, 95), ("d", 100, 90)], "segment_name string, capacity long, allocated long")
+    asked = spark.createDataFrame([("k1", 5, "a"), ("k2", 8, "b"), ("k3", 20, "b"), ("k4", 99, "a")], "object_key string, size long, segment_name string")
+    rows = {r.object_key: (r.placed, r.outcome) for r in store.placements(asked, held).collect()}
+    assert rows == {"k1": ("d,b", "ok"), "k2": ("d,a", "ok"), "k3": ("a", "no_available_segment"), "k4": (None, "no_available_segment")}
