@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cachefold.functions.frames import first_by
 from cachefold.plans.registry import query
 from cachefold.sources import tables as S
 
@@ -67,3 +71,35 @@ def guarded_get(spark: SparkSession, sf: str) -> DataFrame:
     docs = S.docs(spark, sf)
     rows = audited(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
     return rows.select("doc_id", F.when(F.col("outcome") == "safe", "hit").when(F.col("outcome") == "absent", "not_found").otherwise("unsafe_reuse").alias("result"))
+
+
+def audited_by_others(docs: DataFrame) -> DataFrame:
+    """``audited`` for each block against all the others.
+
+    The two smallest ids of a scope tell whether another block than the asking one holds it, and the first that does, so
+    a content has two holders a scope at most, and copies never meet one by one.
+    """
+    few = first_by(docs.select("doc_id", "block_hash", *SCOPE).where("doc_id is not null").distinct(), ["block_hash", *SCOPE], [F.col("doc_id").asc()], "r", 2)
+    held = few.groupBy("block_hash").agg(F.array_sort(F.collect_list(F.struct("doc_id", *SCOPE))).alias("held"))
+    rows = docs.select("doc_id", "block_hash", *SCOPE).join(held, "block_hash", "left")
+    rows = rows.withColumn("held", F.filter("held", lambda h: h["doc_id"] != F.col("doc_id")))
+    same = F.exists("held", lambda h: reduce(and_, (h[c].eqNullSafe(F.col(c)) for c in SCOPE)))
+    rows = rows.withColumn("safe", same).withColumn("h", F.when(F.size("held") > 0, F.element_at("held", 1)))
+    rows = rows.select("doc_id", *SCOPE, "safe", F.col("h.doc_id").alias("first"), *(F.col(f"h.{c}").alias(f"h_{c}") for c in SCOPE))
+    return rows.select("doc_id", F.when(F.col("first").isNull(), "absent").when(F.col("safe"), "safe").otherwise(violation("", "h_")).alias("outcome"))
+
+
+OTHERS_SQL = f"({AUDIT_SQL} FROM docs q LEFT JOIN docs h ON q.block_hash = h.block_hash AND h.doc_id <> q.doc_id GROUP BY q.doc_id)"
+
+
+@query("reuse_audit_all", S.sql(f"SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM {OTHERS_SQL} t GROUP BY outcome", "docs"))
+def reuse_audit_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document asks for what the others hold: safe reuses and refusals by class."""
+    return audited_by_others(S.docs(spark, sf)).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("guarded_get_all", S.sql(f"SELECT doc_id, CASE outcome WHEN 'safe' THEN 'hit' WHEN 'absent' THEN 'not_found' ELSE 'unsafe_reuse' END AS result FROM {OTHERS_SQL} t", "docs"))
+def guarded_get_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``guarded_get`` for every document, among all the others."""
+    rows = audited_by_others(S.docs(spark, sf))
+    return rows.select("doc_id", F.when(F.col("outcome") == "safe", "hit").when(F.col("outcome") == "absent", "not_found").otherwise("unsafe_reuse").alias("result"))

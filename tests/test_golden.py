@@ -220,3 +220,14 @@ def test_placement_order(spark):
     asked = spark.createDataFrame([("k1", 5, "a"), ("k2", 8, "b"), ("k3", 20, "b"), ("k4", 99, "a")], "object_key string, size long, segment_name string")
     rows = {r.object_key: (r.placed, r.outcome) for r in store.placements(asked, held).collect()}
     assert rows == {"k1": ("d,b", "ok"), "k2": ("d,a", "ok"), "k3": ("a", "no_available_segment"), "k4": (None, "no_available_segment")}
+
+
+def test_audit_among_all_others(spark):
+    rows = [(2, "x", "t"), (4, "x", "t"), (6, "y", "t"), (8, "y", "u"), (1, "z", "t"), (3, "z", "u"), (5, "z", "u"), (7, "w", "t"), (9, None, "t"), (11, None, "t")]
+    blocks = spark.createDataFrame([(d, h, "m", "k", None, t) for d, h, t in rows], "doc_id long, block_hash string, model_id string, tokenizer_id string, adapter_id string, tenant_id string")
+    got = {r.doc_id: r.outcome for r in identity.audited_by_others(blocks).collect()}
+    assert got == {2: "safe", 4: "safe", 6: "cross_tenant", 8: "cross_tenant", 1: "cross_tenant", 3: "safe", 5: "safe", 7: "absent", 9: "absent", 11: "absent"}
+
+
+def test_every_document_asks(spark, sf):
+    assert {r.doc_id for r in identity.guarded_get_all(spark, sf).collect()} == {r.doc_id for r in S.docs(spark, sf).collect()}
