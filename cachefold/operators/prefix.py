@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cachefold.functions.columns import stable_hash
@@ -98,7 +98,14 @@ def hotness_decay(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("block_hash").agg(total.alias("hotness")).where("hotness > 0")
 
 
+def halved(count: Column, times: Column) -> Column:
+    """``count`` halved and rounded down so many times, in one step."""
+    return F.call_function("shiftright", count, F.least(times, F.lit(63)).cast("int"))
+
+
 WIDTH, DEPTH = 256, 4
+#: Fixed value: the width that the reference's store uses.
+STORE_WIDTH = 4096
 
 
 def sketch(adds: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
@@ -112,10 +119,14 @@ def sketch(adds: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> DataFrame
     cells = counted.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))).withColumn("cell", cell_of(F.col("key"), F.col("row"), width))
     cells = cells.groupBy("row", "cell", "epoch").agg(F.sum("n").alias("n"))
     last = adds.agg(F.floor((F.max("seq") + 1) / epoch).alias("last"))  # epochs before it are complete
-    by_cell = cells.groupBy("row", "cell").agg(F.map_from_entries(F.collect_list(F.struct("epoch", "n"))).alias("m")).join(last)
-    add = lambda acc, e: F.least(F.lit(255).cast("long"), acc + F.coalesce(F.element_at("m", e), F.lit(0).cast("long")))
-    halved = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("last")), F.lit(0).cast("long"), lambda acc, e: F.when(e < F.col("last"), F.floor(add(acc, e) / 2)).otherwise(add(acc, e)))
-    return by_cell.select("row", "cell", halved.alias("count"))
+    by_cell = cells.groupBy("row", "cell").agg(F.array_sort(F.collect_list(F.struct("epoch", "n"))).alias("m")).join(last)
+    start = F.struct(F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("n"))
+
+    def add(acc: Column, e: Column) -> Column:
+        return F.struct(e["epoch"].alias("epoch"), F.least(F.lit(255).cast("long"), halved(acc["n"], e["epoch"] - acc["epoch"]) + e["n"]).alias("n"))
+
+    count = F.aggregate("m", start, add, lambda acc: halved(acc["n"], F.col("last") - acc["epoch"]))
+    return by_cell.select("row", "cell", count.alias("count"))
 
 
 def cell_of(key, row, width: int):  # noqa: ANN001, ANN201
@@ -128,16 +139,27 @@ def cell_of(key, row, width: int):  # noqa: ANN001, ANN201
   adds="SELECT block_hash, row_number() OVER (ORDER BY seq) - 1 AS seq FROM kv_events WHERE op = 'block_stored'",
   keys="SELECT block_hash, r, CAST(('0x' || substr(md5(concat(block_hash, ':', CAST(r AS VARCHAR))), 1, 8)) AS BIGINT) % 256 AS cell FROM (SELECT DISTINCT block_hash FROM adds) a, range(4) d(r)",
   cells="SELECT k.r, k.cell, a.seq // 1024 AS ep, CAST(count(*) AS BIGINT) AS n FROM adds a JOIN keys k ON k.block_hash = a.block_hash GROUP BY ALL"))
-def count_min_sketch(spark: SparkSession, sf: str) -> DataFrame:
+def count_min_sketch(spark: SparkSession, sf: str, width: int = WIDTH) -> DataFrame:
     from cachefold.functions.frames import with_position
 
     stored = S.kv_events(spark, sf).where("op = 'block_stored'").select(F.col("block_hash").alias("key"), F.col("seq").alias("at"))
     adds = with_position(stored, "at", "seq").select("key", "seq")
-    cells = sketch(adds).withColumnsRenamed({"row": "r", "cell": "c"})
-    keys = adds.select("key").distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(DEPTH - 1)))).withColumn("cell", cell_of(F.col("key"), F.col("row"), WIDTH))
+    cells = sketch(adds, width).withColumnsRenamed({"row": "r", "cell": "c"})
+    keys = adds.select("key").distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(DEPTH - 1)))).withColumn("cell", cell_of(F.col("key"), F.col("row"), width))
     return keys.join(cells, (F.col("row") == F.col("r")) & (F.col("cell") == F.col("c"))).groupBy("key").agg(F.min("count").alias("estimate"))
 
 
+@query("count_min_sketch_store", S.sql("""SELECT block_hash AS key, CAST(min(least(255, list_reduce(l[1:-2], lambda a, x: least(255, a + x) // 2, 0::BIGINT) + l[-1])) AS BIGINT) AS estimate FROM (
+  SELECT k.block_hash, k.r, list(coalesce(n, 0) ORDER BY e) AS l FROM keys k CROSS JOIN (SELECT unnest(range((SELECT (max(seq) + 1) // 16384 FROM adds) + 1)) AS e) g
+  LEFT JOIN (SELECT r, cell, ep, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL) z ON z.r = k.r AND z.cell = k.cell AND z.ep = g.e GROUP BY ALL) t GROUP BY 1""", "kv_events",
+  adds="SELECT block_hash, row_number() OVER (ORDER BY seq) - 1 AS seq FROM kv_events WHERE op = 'block_stored'",
+  keys="SELECT block_hash, r, CAST(('0x' || substr(md5(concat(block_hash, ':', CAST(r AS VARCHAR))), 1, 8)) AS BIGINT) % 4096 AS cell FROM (SELECT DISTINCT block_hash FROM adds) a, range(4) d(r)",
+  cells="SELECT k.r, k.cell, a.seq // 16384 AS ep, CAST(count(*) AS BIGINT) AS n FROM adds a JOIN keys k ON k.block_hash = a.block_hash GROUP BY ALL"))
+def count_min_sketch_store(spark: SparkSession, sf: str) -> DataFrame:
+    """``count_min_sketch`` of the reference's width: 16,384 cells, halved after as many additions."""
+    return count_min_sketch(spark, sf, STORE_WIDTH)
+
+
 TARGET_REPLICAS, HOT, MOST_ACTIONS = 6, 2, 32
 
 

@@ -231,3 +231,23 @@ def test_audit_among_all_others(spark):
 
 def test_every_document_asks(spark, sf):
     assert {r.doc_id for r in identity.guarded_get_all(spark, sf).collect()} == {r.doc_id for r in S.docs(spark, sf).collect()}
+
+
+def test_sketch_of_the_store_ages_as_slowly(spark):
+    # 2,000 additions: 16,384 an epoch keep all of them, 1,024 halve the first ones.
+    adds = spark.range(2000).selectExpr("concat('k', id % 20) as key", "id as seq")
+    assert {r["count"] for r in prefix.sketch(adds, prefix.STORE_WIDTH).collect()} == {100}
+    assert min(r["count"] for r in prefix.sketch(adds).collect()) < 100
+    assert prefix.STORE_WIDTH * prefix.DEPTH == 16384
+
+
+def test_sketch_halves_over_empty_epochs(spark):
+    keys = ["k"] * 30 + ["o"] * 12 + ["k"] * 3 + ["o"] * 7
+    adds = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, seq long")
+    cells = {r.key: r.c for r in adds.select("key").distinct().select("key", prefix.cell_of(F.col("key"), F.lit(0), 8).alias("c")).collect()}
+    want = dict.fromkeys(cells.values(), 0)
+    for at, k in enumerate(keys, 1):
+        want[cells[k]] += 1
+        if at % 8 == 0:
+            want = {c: n // 2 for c, n in want.items()}
+    assert {r.cell: r["count"] for r in prefix.sketch(adds, 8, 1).collect()} == want
