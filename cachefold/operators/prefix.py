@@ -77,30 +77,36 @@ def hot_prefixes(spark: SparkSession, sf: str) -> DataFrame:
 INTERVAL = 500
 
 
+def halved(count: Column, times: Column) -> Column:
+    """``count`` halved and rounded down so many times, in one step."""
+    return F.call_function("shiftright", count, F.least(times, F.lit(63)).cast("int"))
+
+
 @query("hotness_decay", S.sql("""SELECT block_hash, list_reduce(list(coalesce(n, 0) ORDER BY i), lambda a, x: (a + x) // 2, 0::BIGINT) AS hotness FROM (
   SELECT k.block_hash, i, n FROM (SELECT DISTINCT block_hash FROM kv_events WHERE op = 'block_stored') k CROSS JOIN (SELECT unnest(range((SELECT max(seq) // 500 FROM kv_events) + 1)) AS i) g
   LEFT JOIN (SELECT block_hash, seq // 500 AS j, count(*) AS n FROM kv_events WHERE op = 'block_stored' GROUP BY 1, 2) c ON c.block_hash = k.block_hash AND c.j = g.i) t
 GROUP BY block_hash HAVING hotness > 0""", "kv_events"))
 def hotness_decay(spark: SparkSession, sf: str) -> DataFrame:
-    """Access counts that are added and halved (rounding down) once an interval; keys at 0 go.
-
-    Nested halving equals one rounding of the weighted sum, so it is a plain aggregate. Accesses older than 60 intervals
-    weigh less than half an access for any count under 2**59 and cannot change it once they are below that.
-    """
+    """Access counts that are added and halved (rounding down) once an interval; keys at 0 go."""
     events = S.kv_events(spark, sf)
     last = events.agg(F.floor(F.max("seq") / INTERVAL).alias("last"))
-    rows = events.where("op = 'block_stored'").groupBy("block_hash", F.floor(F.col("seq") / INTERVAL).alias("i")).agg(F.count("*").alias("n")).join(last)
-    age = (F.col("last") - F.col("i") + 1).cast("int")
-    # Weights are powers of two over 2**60, kept exact in decimals.
-    part = F.col("n").cast("decimal(18,0)") * F.pow(F.lit(2.0), F.greatest(F.lit(60) - age, F.lit(0)).cast("double")).cast("decimal(20,0)")
-    weight = F.when(age <= 60, part).otherwise(F.lit(0).cast("decimal(38,0)"))
-    total = F.floor(F.sum(weight) / F.lit(1 << 60).cast("decimal(20,0)")).cast("long")
-    return rows.groupBy("block_hash").agg(total.alias("hotness")).where("hotness > 0")
+    return decayed(events.where("op = 'block_stored'").groupBy("block_hash", F.floor(F.col("seq") / INTERVAL).alias("i")).agg(F.count("*").alias("n")), last)
 
 
-def halved(count: Column, times: Column) -> Column:
-    """``count`` halved and rounded down so many times, in one step."""
-    return F.call_function("shiftright", count, F.least(times, F.lit(63)).cast("int"))
+def decayed(counts: DataFrame, last: DataFrame) -> DataFrame:
+    """(block_hash, hotness) of the counts n of intervals i up to the ``last``.
+
+    A key's intervals are folded in order; as accesses come between two halvings, old ones can decide a rounding however
+    long ago they were. Empty intervals are halved over in one step.
+    """
+    rows = counts.groupBy("block_hash").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("m")).join(F.broadcast(last))
+    start = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("n"))  # i: the interval not yet reached
+
+    def add(acc: Column, e: Column) -> Column:
+        return F.struct((e["i"] + 1).alias("i"), halved(halved(acc["n"], e["i"] - acc["i"]) + e["n"], F.lit(1)).alias("n"))
+
+    hotness = F.aggregate("m", start, add, lambda acc: halved(acc["n"], F.col("last") + 1 - acc["i"]))
+    return rows.select("block_hash", hotness.alias("hotness")).where("hotness > 0")
 
 
 WIDTH, DEPTH = 256, 4

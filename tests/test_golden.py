@@ -251,3 +251,30 @@ def test_sketch_halves_over_empty_epochs(spark):
         if at % 8 == 0:
             want = {c: n // 2 for c, n in want.items()}
     assert {r.cell: r["count"] for r in prefix.sketch(adds, 8, 1).collect()} == want
+
+
+def test_hotness_of_a_steady_key_outlives_60_intervals(spark):
+    rows = [("steady", 0, 9)] + [("steady", i, 1) for i in range(1, 100)] + [("gap", 0, 1000), ("gap", 5, 3), ("gone", 3, 100), ("new", 99, 7)]
+    got = {r.block_hash: r.hotness for r in prefix.decayed(spark.createDataFrame(rows, "block_hash string, i long, n long"), spark.sql("select 99L as last")).collect()}
+    want = {}
+    for key in ("steady", "gap", "gone", "new"):
+        c = 0
+        for i in range(100):
+            c = (c + sum(n for k, at, n in rows if k == key and at == i)) // 2
+        want[key] = c
+    assert want["steady"] == 1 and got == {k: c for k, c in want.items() if c}
+
+
+def test_hotness_query_keeps_steady_keys(spark, monkeypatch):
+    # One early burst, then one access an interval for 80 intervals.
+    seqs = [0, 1, 2] + [500 * i for i in range(1, 80)]
+    events = spark.createDataFrame([("k", "block_stored", s) for s in seqs], "block_hash string, op string, seq long")
+    monkeypatch.setattr(prefix.S, "kv_events", lambda spark, sf: events)
+    assert [(r.block_hash, r.hotness) for r in prefix.hotness_decay(spark, "").collect()] == [("k", 1)]
+
+
+def test_hotness_query_rounds_down(spark, monkeypatch):
+    # One access in each of 30 intervals, no burst: each is halved to 0.
+    events = spark.createDataFrame([("k", "block_stored", 500 * i) for i in range(30)], "block_hash string, op string, seq long")
+    monkeypatch.setattr(prefix.S, "kv_events", lambda spark, sf: events)
+    assert prefix.hotness_decay(spark, "").collect() == []
