@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cachefold.functions.columns import div_ceil
 from cachefold.plans.registry import query
@@ -12,12 +16,33 @@ from cachefold.sources import tables as S
 BLOCK_CHARS, MOST_BLOCKS = 256, 64
 
 
-def text_blocks(prompts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, pos, prefix_hash, block_hash, token_count): each block's hash covers all text up to its end."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _whole_hashes(texts: pd.Series) -> pd.Series:
+    """The hashes of all blocks; each text is read once, as the hash of a prefix goes on into the next."""
+
+    def of(text: str | None) -> list[str | None]:
+        if text is None:
+            return [None]
+        state, out = hashlib.md5(), []
+        for at in range(0, max(len(text), 1), BLOCK_CHARS):
+            state.update(text[at : at + BLOCK_CHARS].encode())
+            out.append(state.hexdigest())
+        return out
+
+    return texts.map(of)
+
+
+def text_blocks(prompts: DataFrame, keys: list[str], text: str, whole: bool = False) -> DataFrame:
+    """(keys, pos, prefix_hash, block_hash, token_count): each block's hash covers all text up to its end.
+
+    A text has ``MOST_BLOCKS`` blocks at most, as the reference guards a request, unless it is read ``whole``.
+    """
     length = F.char_length(text)
     n = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(length / BLOCK_CHARS).cast("int")))
     # The hash of the previous block is computed beside it, so no window over blocks is needed.
     hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.md5(F.call_function("substring", F.col(text), F.lit(1), i * BLOCK_CHARS).cast("binary")))
+    if whole:
+        hashes = _whole_hashes(text)
     rows = prompts.select(*keys, length.alias("_length"), hashes.alias("_hashes")).select(*keys, "_length", "_hashes", F.posexplode("_hashes").alias("pos", "block_hash"))
     parent = F.when(F.col("pos") == 0, "root").otherwise(F.element_at("_hashes", F.greatest(F.col("pos"), F.lit(1))))
     size = F.least(F.lit(BLOCK_CHARS), F.col("_length") - F.col("pos") * BLOCK_CHARS)
@@ -34,6 +59,14 @@ def prefix_blocks_docs(spark: SparkSession, sf: str) -> DataFrame:
     return text_blocks(S.table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text")
 
 
+WHOLE_BLOCKS_SQL = TEXT_BLOCKS_SQL.replace("least(64, CAST(ceil(length(text) / 256.0) AS BIGINT))", "CAST(ceil(length(text) / 256.0) AS BIGINT)")
+
+
+@query("prefix_blocks_docs_whole", WHOLE_BLOCKS_SQL.format(keys="doc_id", source="documents"))
+def prefix_blocks_docs_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return text_blocks(S.table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text", whole=True)
+
+
 CHAT_SQL = """SELECT conv_id, turn, text FROM (SELECT c.conv_id, c.turn, c.role, concat(b.text, string_agg(concat(c.role, ':', c.text, chr(10)), '') OVER (PARTITION BY c.conv_id ORDER BY c.turn)) AS text
   FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % 4) t WHERE role = 'user'"""
 

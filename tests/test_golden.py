@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cachefold.functions import columns as C
 from cachefold.functions.frames import with_position
-from cachefold.operators import cosched, identity, index, planner, prefix, store, telemetry, tiers
+from cachefold.operators import blocks, cosched, identity, index, planner, prefix, store, telemetry, tiers
 from cachefold.sources import tables as S
 
 WORKERS = "worker_id string, ord long, role string, locality_domain string, hbm_capacity_bytes long, hbm_used_bytes long, queued_prefill_tokens long, running_decodes long"
@@ -278,3 +279,13 @@ def test_hotness_query_rounds_down(spark, monkeypatch):
     events = spark.createDataFrame([("k", "block_stored", 500 * i) for i in range(30)], "block_hash string, op string, seq long")
     monkeypatch.setattr(prefix.S, "kv_events", lambda spark, sf: events)
     assert prefix.hotness_decay(spark, "").collect() == []
+
+
+def test_text_blocks_read_long_texts_whole(spark):
+    text = "".join(chr(97 + i * i % 26) for i in range(20_001))
+    texts = spark.createDataFrame([(1, text), (2, ""), (3, "é" * 257)], "k long, text string")
+    got = {(r.k, r.pos): r for r in blocks.text_blocks(texts, ["k"], "text", whole=True).collect()}
+    assert len(got) == 79 + 1 + 2 and got[1, 78].token_count == 9
+    assert got[1, 78].block_hash == hashlib.md5(text.encode()).hexdigest() and got[1, 78].prefix_hash == got[1, 77].block_hash
+    for r in blocks.text_blocks(texts, ["k"], "text").collect():
+        assert got[r.k, r.pos] == r
