@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cells import CELL, ROUND, Tree, best, copies_limited, k_best, leaves, rounds, sample, search, usable, visits_of
+from .cells import CELL, ROUND, Tree, best, copies_limited, k_best, leaves, parts_of, rounds, sample, search, usable, visits_of
 from .common import materialize
 
 PROJECTED = 8
@@ -108,7 +108,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     rows = materialize(rows, "vectors")
     spark, limit = rows.sparkSession, chi_square_quantile(SURE, PROJECTED)
-    tree = spark.sparkContext.broadcast(Tree(units(sample(rows, count)) @ directions(dim), -(-count // CELL)))
+    tree = spark.sparkContext.broadcast(Tree(units(sample(rows, count, dim)) @ directions(dim), -(-count // CELL)))
 
     def cell_of(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
@@ -121,7 +121,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *batch.columns], ["cell", "vec_id", "v"])
 
     points = copies_limited(rows, k).mapInArrow(cell_of, "cell int, vec_id long, v array<double>")
-    points = materialize(points, "cells")
+    points = materialize(parts_of(points, dim), "cells")
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(float("inf")).alias("bound"))
 
     def own(q: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -133,7 +133,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     kernel = _kernel(k, limit, dim)
     first = materialize(search(points, visits_of(queries, own), kernel), "hits")
     # The squared distance of the k-th hit bounds that of the k-th neighbour.
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    kth = best(first, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     bound = F.when(F.col("n") >= k, F.greatest(2 - 2 * F.col("least"), F.lit(0.0)) + 1e-12).otherwise(float("inf"))
     queries = queries.drop("bound").join(kth.select("query_id", bound.alias("b")), "query_id", "left")
     queries = queries.select("query_id", "q", F.coalesce("b", F.lit(float("inf"))).alias("bound"))

@@ -1,8 +1,10 @@
 """Vectors dealt into the cells of a kd-tree, and searches of query blocks in cells.
 
-The tree is built on the driver from a bounded, hashed sample; it has ``MOST_CELLS`` leaves at most, whatever the input.
-Every vector goes to one cell. A search works on groups (cell, query block): a cell's vectors meet at most about
-``QUERY_BLOCK`` of the queries that visit it, and the cell is repeated for each such block.
+The tree is built on the driver from a bounded, hashed sample (``SAMPLE`` numbers), so it has ``MOST_CELLS`` leaves at
+most, whatever the input. Every vector goes to one cell, and a cell of many vectors is cut into parts of about
+``PART_NUMBERS`` numbers. A search works on groups (cell, part, query block): a part's vectors meet at most about
+``QUERY_BLOCK`` of the queries that visit the cell, and the part is repeated for each such block. So a group's memory is
+bounded, however many vectors there are.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 16_384
+SAMPLE = 1 << 20  # numbers of all sampled vectors together
 CELL = 512
 MOST_CELLS = 2048
+PART_NUMBERS = 1 << 21  # 16 MB of doubles
 QUERY_BLOCK = 4096
 LEAF = 32
 ROUND = 1024  # queries searched together in a cell
@@ -26,7 +29,7 @@ class Tree:
     """A complete binary tree of splits; ``low`` and ``high`` are the boxes of its leaves."""
 
     def __init__(self, points: np.ndarray, cells: int) -> None:
-        depth = max(0, int(np.ceil(np.log2(max(1, min(cells, MOST_CELLS))))))
+        depth = max(0, int(np.ceil(np.log2(max(1, min(cells, MOST_CELLS, len(points) // 4))))))
         width = points.shape[1]
         self.depth, self.axis, self.at = depth, np.zeros(2**depth - 1, np.int64), np.zeros(2**depth - 1)
         low, high = np.full((2 ** (depth + 1) - 1, width), -np.inf), np.full((2 ** (depth + 1) - 1, width), np.inf)
@@ -128,22 +131,33 @@ def copies_limited(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
 
 
-def sample(rows: DataFrame, count: int) -> np.ndarray:
-    """About ``SAMPLE`` vectors at most, by a hash of the id."""
+def sample(rows: DataFrame, count: int, dim: int) -> np.ndarray:
+    """About ``SAMPLE`` numbers in whole vectors at most, by a hash of the id."""
     part = F.pmod(F.xxhash64(F.col("vec_id"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.where(part < min(1.0, SAMPLE / max(count, 1))).orderBy("vec_id").select("v").collect()
-    return np.array([r["v"] for r in got], np.float64)
+    got = rows.where(part < min(1.0, SAMPLE / dim / max(count, 1))).orderBy("vec_id").select("v").toArrow()
+    return matrix(got["v"]).reshape(-1, dim)
+
+
+def parts_of(points: DataFrame, dim: int) -> DataFrame:
+    """(cell, part, vec_id, v) from (cell, vec_id, v): large cells cut by a hash of the id."""
+    rows = max(1, PART_NUMBERS // dim)
+    counts = points.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))  # MOST_CELLS rows at most
+    cut = points.join(F.broadcast(counts), "cell")
+    return cut.select("cell", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(6)), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
 
 
 def search(points: DataFrame, visits: DataFrame, kernel: Callable, kind: str = "double") -> DataFrame:
-    """(query_id, vec_id, score) with scores of type ``kind``, by ``kernel(ids, vectors, query_ids, query_vectors, bounds)`` for every cell.
+    """(query_id, vec_id, score) with scores of type ``kind``, by ``kernel(ids, vectors, query_ids, query_vectors, bounds)`` for every part.
 
-    points: (cell, vec_id, v); visits: (cell, query_id, q, bound). The kernel returns three arrays.
+    points: (cell, part, vec_id, v); visits: (cell, query_id, q, bound). The kernel returns three arrays.
     """
     schema, score_type = f"query_id long, vec_id long, score {kind}", pa.float64() if kind == "double" else pa.int64()
-    blocks = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-    dealt = points.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
-    asked = visits.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), "query_id", "q", "bound")
+    blocks = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))  # MOST_CELLS rows at most
+    parts = points.groupBy("cell").agg((F.max("part") + 1).alias("parts"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = points.join(F.broadcast(blocks), "cell").select("cell", "part", each("blocks").alias("block"), "vec_id", "v")
+    asked = visits.join(F.broadcast(blocks.join(parts, "cell")), "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int"))
+    asked = asked.select("cell", each("parts").alias("part"), "block", "query_id", "q", "bound")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
@@ -153,7 +167,8 @@ def search(points: DataFrame, visits: DataFrame, kernel: Callable, kind: str = "
             )
         return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], score_type)})
 
-    return dealt.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInArrow(run, schema)
+    keys = ["cell", "part", "block"]
+    return dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def visits_of(queries: DataFrame, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:

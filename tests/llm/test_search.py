@@ -97,6 +97,58 @@ def test_large_weights_stay_exact(spark):
         assert r.score == sum(a * b for a, b in zip(w[r.query_id], w[r.vec_id], strict=True))
 
 
+def ranked(rows, k=5):
+    """Brute force in unbounded integers; scores beyond a long are the nearest long."""
+    from fractions import Fraction
+
+    w = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v in rows}
+    held = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+    out = {}
+    for q in w:
+        if q % 5 == 0:
+            scores = sorted((-held(sum(a * b for a, b in zip(w[q], w[i], strict=True))), i) for i in w if i != q)[:k]
+            out[q] = [(i, -s) for s, i in scores]
+    return out
+
+
+def top_of(spark, rows):
+    got: dict[int, list] = {}
+    for r in topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), EVEN()).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return got
+
+
+def test_large_components_take_part(spark):
+    rows = [(0, [1.0, 0.5]), (1, [2e6, 0.0]), (2, [1.0, 1.0]), (3, [0.1, 0.1])]
+    got = top_of(spark, rows)
+    assert got == ranked(rows) and got[0][0] == (1, 2**9 * 256 * 10**6)
+
+
+@pytest.mark.parametrize("part", [1 << 21, 40])
+def test_all_finite_components_are_exact(spark, monkeypatch, part):
+    monkeypatch.setattr(topk, "CELL", 25)
+    monkeypatch.setattr(cells, "PART_NUMBERS", part)
+    rng = np.random.RandomState(8)
+    rows = [(i, [float(x) for x in rng.randn(4) * 10.0 ** rng.choice([0, 0, 3, 7, 9, 12, 18, 40, 160, 307], size=4)]) for i in range(120)]
+    rows += [(200 + i, [0.1 * i, -0.2, 0.3, 0.4]) for i in range(20)] + [(225, [1e16, -1e16, 1.0, 0.0]), (226, [1e16, 1e16, 3.0, 0.0]), (230, [1e308, -1e308, 1.7e308, -1e300])]
+    assert top_of(spark, rows) == ranked(rows)
+
+
+def test_recall_on_the_table(spark, sf):
+    """At least 0.9 of the 5 nearest of the registered query's answers, by brute force over ``embeddings``."""
+    from cachefold.llm import queries as Q
+
+    table = Q.table(spark, sf, "embeddings").toPandas()
+    ids, x = table.vec_id.to_numpy(), np.stack(table.embedding).astype(np.float64)
+    got = Q.op5_ann(spark, sf).toPandas().groupby("query_id").vec_id.apply(set)
+    hits = asked = 0
+    for a in np.flatnonzero(ids % 50 == 0):
+        score = cosine(x[a], x)
+        order = [b for b in np.lexsort((ids, -score)) if b != a][:5]
+        hits, asked = hits + len(got[ids[a]] & set(ids[order])), asked + 5
+    assert asked and hits >= 0.9 * asked
+
+
 def test_chi_square_quantile():
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
     assert abs(ann.chi_square_quantile(0.5, 2) - 2 * math.log(2)) < 1e-9
