@@ -38,6 +38,48 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT_SHARE = 10_000  # a key is hot with more than one in so many of all rows, so at most so many keys are
+HOT_LEAST = 256  # rows that a hot key has at least
+
+
+def hot_of(counts: DataFrame, key: str) -> DataFrame | None:
+    """(key, salts): the keys that hold more than 1 / ``HOT_SHARE`` of all rows, so at most ``HOT_SHARE`` keys; None if there are none.
+
+    counts: (key, n), a row a key. ``salts`` is into how many pieces of about that share a key's rows have to be dealt.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(HOT_LEAST, -(-total // HOT_SHARE))
+    hot = counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("salts"))
+    return None if hot.isEmpty() else materialize(hot, "hot")
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """``hot_of`` the counted rows."""
+    return hot_of(materialize(rows.groupBy(key).agg(F.count("*").alias("n")), "counts"), key)
+
+
+def join_spread(rows: DataFrame, told: DataFrame, key: str, hot: DataFrame | None, by: list[str | Column], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``told`` (few rows a key) by ``key``.
+
+    The rows of the ``hot`` keys are dealt over many tasks by a hash of ``by``, and what is told of them is repeated there.
+    """
+    if hot is None:
+        return rows.join(told, key, how)
+    hot = F.broadcast(hot)  # HOT_SHARE rows at most
+    salt = F.pmod(F.xxhash64(*by), F.coalesce("salts", F.lit(1))).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    dealt = rows.join(hot, key, "left").withColumn("salt", salt).drop("salts")
+    return dealt.join(told.join(hot, key, "left").withColumn("salt", each).drop("salts"), [key, "salt"], how).drop("salt")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -78,18 +120,50 @@ def _powers(n: int) -> list[np.ndarray]:
     return _tables
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) of all texts, and the text number of each word.
+def _raw_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(polynomial, begin, end) of the words of bytes that begin and end with white space.
 
-    A prefix-sum polynomial over the joined bytes gives every word's hash without a Python loop over words.
+    A prefix-sum polynomial over the bytes gives every word's value without a Python loop over words.
     """
-    buf = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", dtype=np.uint8)
     space = _SPACE[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
     power, inverse = _powers(len(buf))
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[buf] * power[: len(buf)], out=sums[1:])
-    words = (sums[ends] - sums[starts]) * inverse[starts]
+    return (sums[ends] - sums[starts]) * inverse[starts], starts, ends
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) of all texts, and the text number of each word."""
+    value, starts, ends = _raw_words(np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", dtype=np.uint8))
     begin = np.cumsum([1, *(len(t) + 1 for t in texts[:-1])]) if texts else np.zeros(0, dtype=np.int64)
-    return mix64(words ^ (ends - starts).astype(np.uint64)), np.searchsorted(begin, starts, side="right") - 1
+    return mix64(value ^ (ends - starts).astype(np.uint64)), np.searchsorted(begin, starts, side="right") - 1
+
+
+def word_hashes_of_long(text: bytes, piece: int = 1 << 20) -> np.ndarray:
+    """The same hashes for one text, read in pieces; a word that a piece's end cuts is put together from its parts."""
+    found, value, length = [], 0, 0  # of the word that reached the last piece's end
+    for at in range(0, len(text), piece):
+        buf = np.frombuffer(b"\n" + text[at : at + piece] + b"\n", dtype=np.uint8)
+        words, starts, ends = _raw_words(buf)
+        sizes = (ends - starts).astype(np.uint64)
+        if length and not (len(starts) and starts[0] == 1):
+            found.append(mix64(np.array([value ^ length], dtype=np.uint64)))
+            value = length = 0
+        if length:
+            value = (value + pow(int(_BASE), length, 1 << 64) * int(words[0])) % (1 << 64)
+            length += int(sizes[0])
+            open_still = len(starts) == 1 and ends[0] == len(buf) - 1
+            words, sizes, starts, ends = words[1:], sizes[1:], starts[1:], ends[1:]
+            if open_still:
+                continue
+            found.append(mix64(np.array([value ^ length], dtype=np.uint64)))
+            value = length = 0
+        if len(ends) and ends[-1] == len(buf) - 1:
+            value, length = int(words[-1]), int(sizes[-1])
+            words, sizes = words[:-1], sizes[:-1]
+        found.append(mix64(words ^ sizes))
+    if length:
+        found.append(mix64(np.array([value ^ length], dtype=np.uint64)))
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)

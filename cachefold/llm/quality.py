@@ -2,14 +2,16 @@
 
 Bytes are embedded; learned filters of ``WIDTH`` bytes run over the whole text every ``STRIDE`` bytes; their largest
 responses in overlapping chunks of ``2 * HALF`` positions (half a chunk apart) feed a hidden layer; each hidden unit's
-largest value over all chunks is kept, and these are combined into one probability. Every byte of every text is read.
+largest value over all chunks is kept, and these are combined into one probability. Every byte of every text is read; a
+text is padded with zeros, so its score does not depend on the texts beside it.
 
-Training takes a bounded, hashed sample of labelled rows (``SAMPLE`` of each class at most, whole texts) on the driver
-and is deterministic; scoring is one pass of ``mapInArrow`` with the broadcast weights (20 KB).
+Training takes a bounded sample of labelled rows on the driver and is deterministic: of each class the ``SAMPLE``
+different (doc_id, text) pairs of smallest hash, whole texts of ``LONGEST`` characters at most. Scoring is one pass of
+``mapInArrow`` with the broadcast weights (20 KB).
 
-Defined cases: null and empty texts are scored as one chunk of padding; without labelled rows every score is 0.5; null
-labels are not learnt from; with several labels for one id each is an example. Repeated rows and null ids need no rule.
-Extra columns are ignored.
+Defined cases: null and empty texts are scored as one chunk of padding; a very long text is read in pieces of ``_PIECE``
+half chunks; without labelled rows every score is 0.5; null labels are not learnt from; with several labels for one id
+each is an example. Repeated rows count once in the sample; null ids need no rule. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,16 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 1500  # rows of each class: the bound on what is fitted
+SAMPLE = 1500  # rows of each class, and
+LONGEST = 1 << 16  # characters of a row: the bounds on what is fitted
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 4, 32, 16
 HALF = 32  # filter positions in half a chunk
 EPOCHS, DOCS_A_STEP, RATE, SEED = 14, 48, 4e-3, 1
 THRESHOLD = 0.3
 _BYTES_A_HALF = HALF * STRIDE
+_ROW = _BYTES_A_HALF + WIDTH - STRIDE
 _BATCH = 1 << 20  # bytes scored at once
+_PIECE = _BATCH // _BYTES_A_HALF
 
 Weights = dict[str, np.ndarray]
 
@@ -42,30 +47,33 @@ def start_weights() -> Weights:
 
 
 def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one byte array, each padded to whole halves and to one chunk at least; and the halves of each."""
+    """The bytes under each half chunk, a row each with the few bytes that its last position reads on; and the halves of each text.
+
+    Each text is padded with zeros to whole halves and to one chunk at least.
+    """
     halves = np.array([max(2, -(-len(t) // _BYTES_A_HALF)) for t in texts])
-    out = np.zeros(halves.sum() * _BYTES_A_HALF + WIDTH, np.uint8)
+    out = np.zeros((halves.sum(), _ROW), np.uint8)
     at = 0
     for t, n in zip(texts, halves, strict=True):
-        out[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        at += n * _BYTES_A_HALF
+        flat = np.zeros(n * _BYTES_A_HALF + _ROW, np.uint8)
+        flat[: len(t)] = np.frombuffer(t, np.uint8)
+        out[at : at + n] = np.lib.stride_tricks.as_strided(flat, (n, _ROW), (_BYTES_A_HALF, 1))
+        at += n
     return out, halves
 
 
-def _windows(data: np.ndarray, w: Weights) -> np.ndarray:
-    """The embedded windows under all filter positions."""
-    emb = w["e"][data]
-    n = (len(data) - WIDTH) // STRIDE
-    return np.lib.stride_tricks.as_strided(emb, (n, WIDTH * EMBED), (STRIDE * EMBED * 4, 4))
+def _windows(rows: np.ndarray, w: Weights) -> np.ndarray:
+    """The embedded windows under all filter positions of the halves."""
+    emb = w["e"][rows]
+    return np.lib.stride_tricks.as_strided(emb, (len(rows), HALF, WIDTH * EMBED), (_ROW * EMBED * 4, STRIDE * EMBED * 4, 4)).reshape(-1, WIDTH * EMBED)
 
 
-def _half_maxima(data: np.ndarray, w: Weights) -> np.ndarray:
+def _half_maxima(rows: np.ndarray, w: Weights) -> np.ndarray:
     """Largest filter response of each half chunk, in pieces that stay in the processor's cache."""
-    windows = _windows(data, w)
-    out = np.empty((len(windows) // HALF, FILTERS), np.float32)
+    out = np.empty((len(rows), FILTERS), np.float32)
     step = 64
     for h in range(0, len(out), step):
-        z = np.ascontiguousarray(windows[h * HALF : (h + step) * HALF]) @ w["w1"]
+        z = _windows(rows[h : h + step], w) @ w["w1"]
         out[h : h + step] = z.reshape(-1, HALF, FILTERS).max(axis=1)
     return np.maximum(out + w["b1"], 0)
 
@@ -78,24 +86,38 @@ def _document_layer(half: np.ndarray, halves: np.ndarray, w: Weights) -> tuple[n
     chunk = np.maximum(half[first], half[first + 1])
     hidden = np.maximum(chunk @ w["w2"] + w["b2"], 0)
     begin = np.concatenate([[0], np.cumsum(halves - 1)[:-1]])
-    top = np.maximum.reduceat(hidden, begin, axis=0)
-    return first, chunk, hidden, begin, top, (top @ w["w3"] + w["b3"])[:, 0]
+    return first, chunk, hidden, begin, np.maximum.reduceat(hidden, begin, axis=0)
+
+
+def _probability(top: np.ndarray, w: Weights) -> np.ndarray:
+    return 1 / (1 + np.exp(-(top @ w["w3"] + w["b3"])[:, 0].astype(np.float64)))
 
 
 def probabilities(texts: list[bytes], w: Weights) -> np.ndarray:
     data, halves = _laid_out(texts)
-    logit = _document_layer(_half_maxima(data, w), halves, w)[-1]
-    return 1 / (1 + np.exp(-logit.astype(np.float64)))
+    return _probability(_document_layer(_half_maxima(data, w), halves, w)[-1], w)
+
+
+def probability_of_long(text: bytes, w: Weights) -> float:
+    """The same for one text, read in pieces that share half a chunk."""
+    top = np.zeros((1, HIDDEN), np.float32)
+    last = max(2, -(-len(text) // _BYTES_A_HALF))
+    for at in range(0, last - 1, _PIECE):
+        n = min(_PIECE + 1, last - at)
+        part = text[at * _BYTES_A_HALF : (at + n) * _BYTES_A_HALF + _ROW]
+        rows = _laid_out([part])[0][:n]
+        top = np.maximum(top, _document_layer(_half_maxima(rows, w), np.array([n]), w)[-1])
+    return float(_probability(top, w)[0])
 
 
 def _gradients(texts: list[bytes], labels: np.ndarray, w: Weights) -> Weights:
     data, halves = _laid_out(texts)
     windows = _windows(data, w)
-    z = (np.ascontiguousarray(windows) @ w["w1"]).reshape(-1, HALF, FILTERS)
+    z = (windows @ w["w1"]).reshape(-1, HALF, FILTERS)
     where = z.argmax(axis=1)
     half = np.maximum(np.take_along_axis(z, where[:, None], axis=1)[:, 0] + w["b1"], 0)
-    first, chunk, hidden, begin, top, logit = _document_layer(half, halves, w)
-    g = ((1 / (1 + np.exp(-logit)) - labels) / len(texts)).astype(np.float32)[:, None]
+    first, chunk, hidden, begin, top = _document_layer(half, halves, w)
+    g = ((_probability(top, w) - labels) / len(texts)).astype(np.float32)[:, None]
     out = {"w3": top.T @ g, "b3": g.sum(axis=0)}
     to_top = (g @ w["w3"].T) * (top > 0)
     d_hidden = np.zeros_like(hidden)
@@ -106,15 +128,19 @@ def _gradients(texts: list[bytes], labels: np.ndarray, w: Weights) -> Weights:
     d_chunk = (d_hidden @ w["w2"].T) * (chunk > 0)
     d_half = np.zeros_like(half)
     second = half[first + 1] > half[first]
-    np.add.at(d_half, first, np.where(second, 0, d_chunk))
-    np.add.at(d_half, first + 1, np.where(second, d_chunk, 0))
-    out["b1"], out["w1"], out["e"] = d_half.sum(axis=0), np.zeros_like(w["w1"]), np.zeros_like(w["e"])
+    d_half[first] = np.where(second, 0, d_chunk)
+    d_half[first + 1] += np.where(second, d_chunk, 0)
+    out["b1"], out["w1"] = d_half.sum(axis=0), np.zeros_like(w["w1"])
     h, f = np.nonzero(d_half)
     value, position = d_half[h, f], h * HALF + where[h, f]
-    np.add.at(out["w1"].T, f, windows[position] * value[:, None])
+    under = windows[position] * value[:, None]
+    order = f.argsort(kind="stable")
+    begins = np.flatnonzero(np.diff(f[order], prepend=-1))
+    if len(begins):
+        out["w1"][:, f[order][begins]] = np.add.reduceat(under[order], begins, axis=0).T
     to_bytes = (w["w1"].T[f] * value[:, None]).reshape(-1, EMBED)
-    used = data[(position * STRIDE)[:, None] + np.arange(WIDTH)].ravel()
-    np.add.at(out["e"], used, to_bytes)
+    used = data[h[:, None], where[h, f][:, None] * STRIDE + np.arange(WIDTH)].ravel()
+    out["e"] = np.stack([np.bincount(used, to_bytes[:, d], 256) for d in range(EMBED)], axis=1).astype(np.float32)
     out["e"][0] = 0
     return out
 
@@ -138,15 +164,22 @@ def train(texts: list[bytes], labels: list[int]) -> Weights:
     return w
 
 
+def smallest_hashes(rows: DataFrame, group: str, on: list[str], count: int) -> DataFrame:
+    """Of each group the ``count`` different rows of smallest hash of ``on``; a limit that Spark applies before the shuffle, too."""
+    h = F.xxhash64(*on, F.lit(1))
+    order = Window.partitionBy(group).orderBy("h", *on)
+    return rows.dropDuplicates([group, *on]).withColumn("h", h).withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[list[bytes], list[int]]:
-    """About ``SAMPLE`` labelled rows of each class by a hash of the id, in a fixed order."""
+    """``SAMPLE`` labelled rows of each class at most, in a fixed order."""
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("label")).where(~held_out)
-    count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
-    share = F.when(F.col("label") == 1, min(1.0, SAMPLE / count.get(1, 1))).otherwise(min(1.0, SAMPLE / count.get(0, 1)))
-    some = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30) < share)
-    # Two numbers for about 2 * SAMPLE rows, however many documents there are: small enough to broadcast.
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "label", "text").select("text", "label").collect()
+    some = smallest_hashes(known, "label", ["doc_id"], SAMPLE).select("doc_id", "label")
+    # Two numbers for 2 * SAMPLE rows at most, however many labels and documents there are: small enough to broadcast.
+    rows = docs.where(F.char_length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = smallest_hashes(rows, "label", ["doc_id", "text"], SAMPLE)  # an id may be repeated with many texts
+    rows = rows.select("h", "doc_id", "label", "text").collect()  # 2 * SAMPLE rows of LONGEST characters at most
+    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["label"], r["text"]))
     return [r["text"].encode("utf-8", "surrogatepass") for r in rows], [r["label"] for r in rows]
 
 
@@ -156,20 +189,36 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(texts, marks) if texts else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = model.value
         for batch in batches:
-            rows = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-            out, some, size = [], [], 0
-            for i, t in enumerate(rows):
-                some.append(t)
-                size += len(t)
-                if size >= _BATCH or i + 1 == len(rows):
-                    out.append(np.full(len(some), 0.5) if w is None else probabilities(some, w))
-                    some, size = [], 0
-            value = np.concatenate(out) if out else np.zeros(0)
+            value = scores(batch.column(2), model.value)
             columns = [batch.column(0), batch.column(1), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     schema = docs.select("doc_id").schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(run, schema)
+
+
+def scores(texts: pa.Array, w: Weights | None) -> np.ndarray:
+    """Probabilities of a column of texts, short ones together."""
+    out = np.full(len(texts), 0.5)
+    some: list[tuple[int, bytes]] = []
+
+    def settle() -> None:
+        if some:
+            out[[i for i, _ in some]] = probabilities([t for _, t in some], w)
+            some.clear()
+
+    size = 0
+    for i, text in enumerate(texts if w is not None else ()):
+        data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+        if len(data) > _BATCH:
+            out[i] = probability_of_long(data, w)
+            continue
+        some.append((i, data))
+        size += len(data)
+        if size >= _BATCH:
+            settle()
+            size = 0
+    settle()
+    return out

@@ -381,6 +381,84 @@ def test_quality_edge_cases(spark):
     assert quality.score(docs(spark, []), some, F.lit(False)).collect() == []
 
 
+def test_scores_are_a_plain_convolution():
+    """The network position by position, in loops."""
+    rng, w = np.random.RandomState(3), {k: x.astype(np.float64) for k, x in quality.start_weights().items()}
+    w |= {"b1": rng.randn(quality.FILTERS), "b2": rng.randn(quality.HIDDEN), "b3": rng.randn(1)}
+    texts = [bytes(rng.randint(1, 256, n).astype(np.uint8)) for n in (0, 1, 127, 128, 129, 255, 256, 400, 1000)]
+    want = []
+    for t in texts:
+        n = max(2, -(-len(t) // 128))
+        data = t + bytes(128 * n + 8 - len(t))
+        responses = [[max(0.0, max(w["e"][list(data[at : at + 8])].ravel() @ w["w1"][:, f] for at in range(128 * h, 128 * h + 128, 4)) + w["b1"][f]) for f in range(quality.FILTERS)] for h in range(n)]
+        hidden = [np.maximum(np.maximum(a, b) @ w["w2"] + w["b2"], 0) for a, b in zip(responses[:-1], responses[1:], strict=True)]
+        want.append(1 / (1 + np.exp(-(np.max(hidden, axis=0) @ w["w3"] + w["b3"])[0])))
+    narrow = {k: x.astype(np.float32) for k, x in w.items()}
+    assert np.allclose(quality.probabilities(texts, narrow), want, atol=1e-4)
+    assert np.allclose([quality.probabilities([t], narrow)[0] for t in texts], quality.probabilities(texts, narrow), atol=1e-6)
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    rng, w = np.random.RandomState(5), quality.start_weights()
+    texts = [bytes(rng.randint(1, 256, n).astype(np.uint8)) for n in (0, 100, 700, 1024, 5000, 5121)]
+    want = quality.probabilities(texts, w)
+    monkeypatch.setattr(quality, "_PIECE", 3)
+    assert np.allclose([quality.probability_of_long(t, w) for t in texts], want, atol=1e-6)
+
+
+@pytest.mark.parametrize("ids", [None, 7])
+def test_training_samples_are_bounded(spark, monkeypatch, ids):
+    """Rows with one id, or none, and copies, are not chosen all or none."""
+    monkeypatch.setattr(quality, "SAMPLE", 10)
+    monkeypatch.setattr(langid, "SAMPLE", 10)
+    monkeypatch.setattr(langid, "LONGEST", 300)
+    rows = [(ids if i % 3 else i, f"text number {i % 200} " + "long " * (100 * (i % 11 == 0)), "ab"[i % 2], "s") for i in range(600)]
+    texts, langs = langid.training_rows(docs(spark, rows), F.lit(False))
+    assert sorted(langs) == ["a"] * 10 + ["b"] * 10 and max(map(len, texts)) <= 300 and len(set(texts)) > 10
+    monkeypatch.setattr(quality, "LONGEST", 300)
+    labels = spark.createDataFrame([(7, 1, 0)] * 50 + [(i, i % 2, 0) for i in range(0, 600, 3)], "doc_id long, quality int, toxic int")
+    texts, marks = quality.training_rows(docs(spark, rows), labels, F.lit(False))
+    assert max(marks.count(0), marks.count(1)) <= 10 and min(marks.count(0), marks.count(1)) > 0 and max(map(len, texts)) <= 300
+
+
+def test_many_languages(monkeypatch):
+    """100 languages with lowered bounds: all are learnt, from fewer rows and landmarks each."""
+    monkeypatch.setattr(langid, "MARKS", 150)
+    rng = random.Random(1)
+    words = {f"l{i:02d}": ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)] for i in range(100)}
+    rows = [(" ".join(rng.choice(words[a]) for _ in range(40)), a) for a in words for _ in range(6)]
+    names, folded = langid.fit(*zip(*rows, strict=True))
+    assert len(names) == 100 and folded.nbytes == 100 * 262_144
+    told, _ = langid.scorer(names, folded)([" ".join(rng.choice(words[a]) for _ in range(40)) for a in names])
+    assert np.mean([a == b for a, b in zip(told, names, strict=True)]) > 0.9
+
+
+def test_scores_are_explicit_kernels(monkeypatch):
+    """Folded scores against ridge regression on kernels of n-gram sets."""
+    rng = random.Random(2)
+    rows = [("".join(rng.choice("abcd " if a == "x" else "cdef ") for _ in range(60)), a) for a in "xy" for _ in range(12)]
+    monkeypatch.setattr(langid, "LANDMARKS", 5)
+    names, folded = langid.fit(*zip(*rows, strict=True))
+
+    def grams(text):
+        row = np.zeros(langid.SLOTS, np.uint8)
+        langid.mark(text, row)
+        return set(np.flatnonzero(row).tolist())
+
+    def kernel(s, t):
+        return np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in t] for a in s])
+
+    sets, land = [grams(t) for t, _ in rows], [grams(t) for a in "xy" for t in [t for t, b in rows if a == b][:5]]
+    values, vectors = np.linalg.eigh(kernel(land, land))
+    root = vectors / np.sqrt(values)
+    phi, y = kernel(sets, land) @ root, np.array([[a == "x", a == "y"] for _, a in rows], float)
+    beta = np.linalg.solve(phi.T @ phi + langid.RIDGE * len(rows) * 1e-2 * np.eye(len(land)), phi.T @ y)
+    asked = ["abc cde fab", "ffee dd", "bb ba ab"]
+    want = kernel([grams(t) for t in asked], land) @ root @ beta
+    got_lang, got = langid.scorer(names, folded)(asked)
+    assert got_lang == [names[i] for i in want.argmax(axis=1)] and np.allclose(got, np.clip(want.max(axis=1), 0, 1), atol=1e-4)
+
+
 def test_gradients():
     """Backward against differences, where the largest responses do not change."""
     w = {k: x.astype(np.float64) for k, x in quality.start_weights().items()}
