@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,54 +32,35 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/cachefold/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-HOT_SHARE = 10_000  # a key is hot with more than one in so many of all rows, so at most so many keys are
-HOT_LEAST = 256  # rows that a hot key has at least
-
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`new_folder` named, wherever Spark keeps it; nothing happens if it is gone."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-def hot_of(counts: DataFrame, key: str) -> DataFrame | None:
-    """(key, salts): the keys that hold more than 1 / ``HOT_SHARE`` of all rows, so at most ``HOT_SHARE`` keys; None if there are none.
-
-    counts: (key, n), a row a key. ``salts`` is into how many pieces of about that share a key's rows have to be dealt.
-    """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    share = max(HOT_LEAST, -(-total // HOT_SHARE))
-    hot = counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("salts"))
-    return None if hot.isEmpty() else materialize(hot, "hot")
 
+_scratch: list[list[str]] = []
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
-    """``hot_of`` the counted rows."""
-    return hot_of(materialize(rows.groupBy(key).agg(F.count("*").alias("n")), "counts"), key)
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are deleted at the end, but for those told to stay (``keep``)."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop_folder(spark, path)
 
-def join_spread(rows: DataFrame, told: DataFrame, key: str, hot: DataFrame | None, by: list[str | Column], how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``told`` (few rows a key) by ``key``.
 
-    The rows of the ``hot`` keys are dealt over many tasks by a hash of ``by``, and what is told of them is repeated there.
-    """
-    if hot is None:
-        return rows.join(told, key, how)
-    hot = F.broadcast(hot)  # HOT_SHARE rows at most
-    salt = F.pmod(F.xxhash64(*by), F.coalesce("salts", F.lit(1))).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-    dealt = rows.join(hot, key, "left").withColumn("salt", salt).drop("salts")
-    return dealt.join(told.join(hot, key, "left").withColumn("salt", each).drop("salts"), [key, "salt"], how).drop("salt")
-
-
-def free_name(columns: list[str], name: str) -> str:
-    """``name``, with as many underscores behind it as it takes to differ from all ``columns``."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_remainder(column: str, modulus: int) -> Column:

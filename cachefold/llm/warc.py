@@ -9,9 +9,13 @@ candidate as a record if its first bytes decode to a WARC header, and owns the r
 reading past the range's end for the last one.
 
 A response's block is an HTTP head and the payload; a revisit's block is the HTTP head alone, whose Content-Length still
-tells the payload's size. Defined cases: a null payload is empty; a null url gives no target; a null page_id is written
-as "null" and read as null; rows that repeat the smallest page_id of a payload are all responses. Extra columns are
-ignored. An empty table gives archives without responses, and an empty result.
+tells the payload's size. Which records are revisits is found from (page_id, digest) alone; a digest that very many pages
+share is dealt over many tasks.
+
+Defined cases: a null payload is empty; a null url gives no target; white space and control characters of a url are
+percent-encoded, all else is kept; a null page_id is written as "null" and read as null; rows that repeat the smallest
+page_id of a payload are all responses. A payload is held whole in one task. Extra columns are ignored. An empty table
+gives archives without responses, and an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import hot_of, join_spread, materialize, new_folder
 
 MAGIC = b"\x1f\x8b\x08"
 #: Fixed bytes: a gzip member that decodes to nothing.
@@ -35,6 +39,7 @@ EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 SPLIT = 8 << 20
 STEP = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0\u2028\u2029]")
 ID = "urn:cachefold:page:"
 
 
@@ -58,9 +63,13 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"),
-    ).withColumn("sha", F.sha1("payload"))
-    first = rows.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first.where("first is not null"), "sha", "left")
+    ).withColumn("sha", F.when(F.length("payload") >= least_bytes, F.sha1("payload")))
+    told = rows.select("page_id", "sha").where("sha is not null").distinct()
+    told = materialize(told, "digests")
+    first = materialize(told.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "first")
+    later = join_spread(told, first.select("sha", "first"), "sha", hot_of(first.select("sha", "n"), "sha"), ["page_id"])
+    later = later.where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "first")
+    rows = rows.join(later, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = _record("warcinfo", [("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
@@ -68,11 +77,11 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
         for batch in batches:
             out = []
             for page, url, payload, original in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                revisit = original is not None and original != page and len(payload) >= least_bytes
+                revisit = original is not None
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 headers = [("WARC-Record-ID", f"<{ID}{'null' if page is None else page}>"), ("WARC-Date", DATE)]
                 if url is not None:
-                    headers.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")))
+                    headers.append(("WARC-Target-URI", _UNSAFE.sub(lambda m: quote(m[0]), url)))
                 headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
                 if revisit:
                     headers += [("WARC-Refers-To", f"<{ID}{original}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
