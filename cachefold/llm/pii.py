@@ -1,16 +1,22 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations.
 
-Found values are validated first (Luhn, area rules, mod 97, the calendar, octets); a value that does not validate stays.
+Found values are validated first (issuer and Luhn, area rules, mod 97, the calendar, octets); a value that does not
+validate stays.
 Phone numbers are told by their written form alone, as area codes that are not in use are written down, too.
 A valid one is permuted inside its own format: digits stay digits, separators stay, and the result validates again
-(cycle walking), so card numbers remain card numbers and dates remain dates. The permutation depends on the key and the
-kind of value only: equal values get equal pseudonyms in all documents, and the key's owner can invert them.
+(cycle walking), so card numbers of an issuer remain such numbers and dates remain dates. The permutation depends on the
+key and the kind of value only: equal values get equal pseudonyms in all documents, a day has one pseudonym in all
+notations, and the key's owner can invert them. Dates keep the width of their day and month, and days above 12 stay
+above it, so that a notation is read as before.
 
-Secrets (access keys, tokens, passwords) and the names in e-mail addresses are permuted in the same way.
+Secrets (access keys, tokens, passwords) and the names in e-mail addresses are permuted in the same way; domains stay.
 
-Defined cases: a null text stays null with 0 findings; an empty text stays empty. Rows are handled one by one, so
-repeated rows, null ids and empty tables need no rule. Other columns pass through; an input column named ``n_pii`` is
-replaced.
+The key is the session's ``spark.cachefold.pii.key``. Without one, a random key is drawn for the application, which links
+values within that run and is then lost.
+
+Defined cases: a null text stays null with 0 findings; an empty text stays empty; very long texts are searched whole.
+Rows are handled one by one, so repeated rows, null ids and empty tables need no rule. Other columns pass through,
+whatever their names; an input column of the name asked for the count (``n_pii``) is replaced.
 """
 
 from __future__ import annotations
@@ -18,17 +24,29 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = b"replace-this-key-in-production"
+from .common import free_name
+
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+_drawn: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The configured key, or one drawn at random for the application."""
+    if told := spark.conf.get("spark.cachefold.pii.key", None):
+        return told.encode()
+    return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 def _value(digits: tuple[int, ...], radix: int) -> int:
     out = 0
     for d in digits:
@@ -85,12 +103,26 @@ def luhn(digits: tuple[int, ...]) -> bool:
     return sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+#: How the numbers of card issuers begin, and how long they are.
+ISSUERS = (
+    ("4", (13, 16, 19)), ("5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720", (16,)), ("3[47]", (15,)), ("6011|64[4-9]|65", (16, 17, 18, 19)),
+    ("30[0-5]|3[689]", (14, 15, 16, 17, 18, 19)), ("352[89]|35[3-8]", (16, 17, 18, 19)), ("62", (16, 17, 18, 19)),
+)
+_ISSUERS = [(re.compile(begin), lengths) for begin, lengths in ISSUERS]
+
+
+def issuer(digits: tuple[int, ...], length: int) -> int | None:
+    text = "".join(map(str, digits))
+    return next((i for i, (begin, lengths) in enumerate(_ISSUERS) if length in lengths and begin.match(text)), None)
+
+
 def _card(text: str, key: bytes) -> str | None:
     digits = _of(text)
-    if not luhn(digits) or not any(digits):
+    mine = issuer(digits, len(digits))
+    if mine is None or not luhn(digits):
         return None
     head, body = digits[:1], digits[1:-1]
-    body = permute(body, 10, key, f"card{len(digits)}{head[0]}")
+    body = walk(body, 10, key, f"card{len(digits)}{head[0]}", lambda d: issuer(head + d, len(digits)) == mine)
     return _laid(text, head + body + next((c,) for c in range(10) if luhn((*head, *body, c))))
 
 
@@ -164,15 +196,19 @@ def _date(text: str, key: bytes) -> str | None:
             at = FIRST_DAY + _value(bits, 2)
             return datetime.date.fromordinal(at) if at <= LAST_DAY else None
 
-        # Month-first dates are those that cannot be read day-first, before and after.
-        fits = lambda bits, order=order: (d := of(bits)) is not None and (order != "mdy" or d.day > 12)
-        new = of(walk(_digits(day - FIRST_DAY, 2, 17), 2, key, f"date{order}", fits))
-        width = {"y": 4, "m": 2 if len(numbers[order.index("m")]) == 2 else 1, "d": 2 if len(numbers[order.index("d")]) == 2 else 1}
-        value = {"y": new.year, "m": new.month, "d": new.day}
-        return marks[0].join(f"{value[k]:0{width[k]}d}" for k in order)
+        sort = _date_class(datetime.date.fromordinal(day))
+        fits = lambda bits, sort=sort: (d := of(bits)) is not None and _date_class(d) == sort
+        new = of(walk(_digits(day - FIRST_DAY, 2, 17), 2, key, "date", fits))
+        value = {"y": str(new.year), "m": str(new.month), "d": str(new.day)}
+        return marks[0].join(value[k].rjust(len(n), "0") for k, n in zip(order, numbers, strict=True))
     return None
 
 
+def _date_class(day: datetime.date) -> tuple[int, bool]:
+    """What a pseudonym shares with its date, so that widths stay and no other order of the parts is read."""
+    return (day.day >= 10) + (day.day > 12), day.month >= 10
+
+
 #: The characters of an IBAN by its country.
 _COUNTRIES = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -263,7 +299,7 @@ def _validated(m: re.Match[str], key: bytes) -> tuple[int, str] | None:
     return None
 
 
-def pseudonymized(text: str, key: bytes = KEY) -> tuple[str, int]:
+def pseudonymized(text: str, key: bytes) -> tuple[str, int]:
     """The text with its personal data permuted, and the number of values found."""
     if not _MAYBE.search(text):
         return text, 0
@@ -278,14 +314,16 @@ def pseudonymized(text: str, key: bytes = KEY) -> tuple[str, int]:
     return "".join(out) + text[done:], found
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``docs`` with its text pseudonymised, and ``n_pii`` int (values found) behind its other columns."""
+def pseudonymize(docs: DataFrame, key: bytes | None = None, count: str = "n_pii") -> DataFrame:
+    """``docs`` with its text pseudonymised, and ``count`` int (values found) behind its other columns."""
+    key = session_key(docs.sparkSession) if key is None else key
 
     @F.pandas_udf("struct<text:string,n:int>")
     def run(texts: pd.Series) -> pd.DataFrame:
         pairs = [(None, 0) if t is None else pseudonymized(t, key) for t in texts]
         return pd.DataFrame(pairs, columns=["text", "n"]).astype({"n": "int32"})
 
-    done = docs.withColumn("_pii", run(F.col("text").cast("string")))
-    kept = [F.col("_pii.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_pii"]
-    return done.select(*kept, F.col("_pii.n").alias("n_pii"))
+    found = free_name(docs.columns, "found")
+    done = docs.withColumn(found, run(F.col("text").cast("string")))
+    kept = [F.col(f"{found}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() != count.lower()]
+    return done.select(*kept, F.col(f"{found}.n").alias(count))
