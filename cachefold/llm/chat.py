@@ -10,7 +10,8 @@ row, so no step gathers a whole conversation; prefixes and heads are made distin
 
 Defined cases: rows equal in conv_id, turn, role and text count once. Order: turn (null last), then role, then text
 (nulls first). A null role renders as "user", a null text as nothing; nulls differ from empty values when conversations
-are compared. Rows with a null conv_id form one conversation. Empty tables give empty results; extra columns are ignored.
+are compared. Marks of turns inside roles and texts are rendered as ``< |im_...``, so that a text cannot begin a turn. A very
+long text is rendered whole. Rows with a null conv_id form one conversation. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 
 def rendered_turn() -> Column:
-    return F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("user")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
+    plain = lambda c, null: F.replace(F.coalesce(c, F.lit(null)), F.lit("<|im_"), F.lit("< |im_"))
+    return F.concat(F.lit("<|im_start|>"), plain("role", "user"), F.lit("\n"), plain("text", ""), F.lit("<|im_end|>\n"))
 
 
 def maximal_conversations(conversations: DataFrame) -> DataFrame:

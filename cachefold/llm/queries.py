@@ -121,7 +121,7 @@ OP9_SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 o AS (
   SELECT *, row_number() OVER w AS pos,
-    '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS shown,
+    '<|im_start|>' || replace(coalesce(role, 'user'), '<|im_', '< |im_') || chr(10) || replace(coalesce(text, ''), '<|im_', '< |im_') || '<|im_end|>' || chr(10) AS shown,
     coalesce('r' || role, '-') || chr(1) || coalesce('t' || text, '-') || chr(2) AS exact
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST)),
 p AS (
