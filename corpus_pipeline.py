@@ -1,4 +1,8 @@
-"""A training-data pipeline over ``documents``: five stages, each written as Parquet and read again by the next."""
+"""A training-data pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
+
+All stages but the last return the columns that they were given, whatever the names and types of those besides doc_id,
+text, lang and source; a stage's own columns take names that are free.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachefold.llm.common import crc_remainder, new_folder
-from cachefold.llm.langid import UNKNOWN, identify
+from cachefold.llm.common import crc_remainder, drop_folder, free_name, materialize, new_folder
+from cachefold.llm.langid import UNKNOWN, predictor
 from cachefold.llm.mixing import mixed_documents
 from cachefold.llm.neardup import near_duplicates
 from cachefold.llm.packing import pack
@@ -19,29 +23,36 @@ LEAST_SCORE = 0.15  # a text whose best language scores lower has no language th
 SHINGLE = 5
 
 
+def columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts that fit no known language."""
-    found = identify(docs.select("doc_id", "text", "lang", *(f"`{c}`" for c in docs.columns if c not in ("doc_id", "text", "lang"))), crc_remainder("doc_id", 4) == 2)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*(f"`{c}`" for c in docs.columns))
+    found = free_name(docs.columns, "found")
+    predict = predictor(docs, crc_remainder("doc_id", 4) == 2)
+    told = docs.withColumn(found, predict(F.col("text").cast("string")))
+    return told.where((F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= LEAST_SCORE)).select(*columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near-duplicates.
 
-    Rows equal in id and text are kept once; rows without an id have no group and stay.
+    Rows of that id that are equal in all columns are kept once, others stay; rows without an id have no group and stay.
     """
-    kept = near_duplicates(docs, k=SHINGLE).where("kept").select("doc_id").distinct()
-    whole = docs.join(kept, "doc_id", "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = whole.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others))).alias("row"))
-    once = first.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
-    return once.unionByName(docs.where("doc_id is null"))
+    kept = materialize(near_duplicates(docs, k=SHINGLE).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*columns(docs))
+    # Ids that are repeated: rows are told apart by a digest of all their columns.
+    whole = F.struct(*columns(docs))
+    rows = docs.select("doc_id", whole.alias("row")).join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+    digest = F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256)
+    rows = rows.withColumn("digest", digest).groupBy("doc_id", "digest").agg(F.any_value("row").alias("row")).select("row.*")
+    return once.unionByName(rows).unionByName(docs.where("doc_id is null"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by format-preserving pseudonyms."""
-    return pseudonymize(docs).select(*(f"`{c}`" for c in docs.columns))
+    return pseudonymize(docs, count=free_name(docs.columns, "n_pii")).select(*columns(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +78,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's table is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's table is written to the shared folder and read again.
+
+    A stage's input is deleted when its output is written.
+    """
+    docs, done = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if done is not None:
+            drop_folder(spark, done)
+        docs, done = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
