@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cachefold.functions.columns import tier_of
@@ -23,17 +23,23 @@ def same(left: DataFrame, right: DataFrame, names: list[str]):  # noqa: ANN201
 def fold_events(events: DataFrame, precise: bool = True) -> DataFrame:
     """The rows that a log leaves resident: the last store of a key, worker and tier, unless removed or cleared later.
 
-    ``precise=False`` ignores removals, as a prefix table does that hears of stores and lost workers only. Each of the
-    three latest positions is a partial aggregate, so hot keys are folded before they are shuffled.
+    A later store replaces an earlier one, so the last one's bytes count. ``precise=False`` ignores removals, as a prefix
+    table does that hears of stores and lost workers only. The last of each key and operation is a partial aggregate, so
+    hot keys are folded before they are shuffled; stores and removals of a block meet in a second one, without a join.
     """
-    stored = events.where("op = 'block_stored'").groupBy("worker_id", *KEY, "tier").agg(F.max("seq").alias("put_seq"), F.max("bytes").alias("bytes"))
-    cleared = events.where("op = 'all_blocks_cleared'").groupBy("worker_id").agg(F.max("seq").alias("cl_seq"))
-    out = stored.join(cleared, "worker_id", "left").where(F.col("put_seq") > F.coalesce("cl_seq", F.lit(-1))).drop("cl_seq")
+    names = ["worker_id", "tenant_id", "adapter_id", "block_hash"]
+    rest = [k for k in KEY if k not in names]
+    last = F.max(F.struct("seq", "bytes")).alias("last")
+    wanted = ["block_stored", "block_removed"] if precise else ["block_stored"]
+    latest = events.where(F.col("op").isin(wanted)).groupBy("worker_id", *KEY, "tier", "op").agg(last)
+    out = latest.select("worker_id", *KEY, "tier", F.col("last.seq").alias("put_seq"), F.col("last.bytes").alias("bytes"))
     if precise:
-        names = ["worker_id", "tenant_id", "adapter_id", "block_hash"]
-        removed = events.where("op = 'block_removed'").groupBy(*names).agg(F.max("seq").alias("rm_seq"))
-        out = out.join(removed, same(out, removed, names), "left").where(F.col("put_seq") > F.coalesce("rm_seq", F.lit(-1)))
-        out = out.select(stored["worker_id"], *(stored[k] for k in KEY), "tier", "put_seq", "bytes")
+        held = F.when(F.col("op") == "block_stored", F.struct(*rest, "tier", F.col("last.seq").alias("put_seq"), F.col("last.bytes").alias("bytes")))
+        gone = F.max(F.when(F.col("op") == "block_removed", F.col("last.seq"))).alias("rm_seq")
+        block = latest.groupBy(*names).agg(gone, F.collect_list(held).alias("held"))
+        out = block.select(*names, F.explode(F.filter("held", lambda x: x["put_seq"] > F.coalesce("rm_seq", F.lit(-1)))).alias("x")).select(*names, "x.*")
+    cleared = events.where("op = 'all_blocks_cleared'").groupBy("worker_id").agg(F.max("seq").alias("cl_seq"))
+    out = out.join(cleared, "worker_id", "left").where(F.col("put_seq") > F.coalesce("cl_seq", F.lit(-1)))
     return out.select("worker_id", *KEY, "tier", "put_seq", "bytes")
 
 
@@ -152,6 +158,109 @@ def normalized_events(raw: DataFrame) -> DataFrame:
     return rows.where("op is not null")
 
 
+BATCH_SCHEMA = (
+    "engine_id string, ts_ms long, model_id string, tokenizer_id string, adapter_id string, tenant_id string, bytes_per_block long, "
+    "events array<struct<type:string,block_hashes:array<string>,parent_block_hash:string,token_ids:array<long>,block_size:long,medium:string,lora_name:string,bytes_per_block:long>>"
+)
+#: Fixed value: bytes of a block of which neither event nor batch tells them.
+BLOCK_BYTES = 4 << 20
+
+
+def event_rows(bodies: DataFrame, engines: DataFrame) -> DataFrame:
+    """Rows of (batch_no, body), a JSON batch of events each, as operations on blocks: a row a block, or a row a clearing.
+
+    engines: (engine_id, default_model, default_tokenizer, default_tenant). Batches of other engines, and bodies that are
+    no JSON, give no rows. What an event does not tell comes from its batch, then from its engine; the parent of a block
+    is the block before it, of the first one the event's parent, or root.
+    """
+    b = bodies.select("batch_no", F.from_json("body", BATCH_SCHEMA).alias("b")).select("batch_no", "b.*").join(engines, "engine_id")
+    e = b.select(
+        "batch_no", "engine_id", F.coalesce("ts_ms", F.lit(0).cast("long")).alias("ts_ms"), F.coalesce("model_id", "default_model").alias("model_id"), F.coalesce("tokenizer_id", "default_tokenizer").alias("tokenizer_id"),
+        F.coalesce("tenant_id", "default_tenant").alias("tenant_id"), "adapter_id", F.col("bytes_per_block").alias("batch_bytes"), F.posexplode("events").alias("event_no", "e"),
+    )
+    stored, cleared = F.col("e.type") == "block_stored", F.col("e.type") == "all_blocks_cleared"
+    hashes = F.when(cleared, F.array(F.lit(None).cast("string"))).otherwise(F.col("e.block_hashes"))
+    rows = e.where("e.type in ('block_stored', 'block_removed', 'all_blocks_cleared')").select("*", F.posexplode(hashes).alias("pos", "block_hash"))
+    before = F.when(F.col("pos") == 0, F.coalesce("e.parent_block_hash", F.lit("root"))).otherwise(F.element_at("e.block_hashes", F.greatest("pos", F.lit(1))))
+    told = lambda c: F.when(stored, c)
+    return rows.select(
+        "batch_no", "event_no", F.col("engine_id").alias("worker_id"), F.col("e.type").alias("op"), "model_id", "tokenizer_id", "tenant_id",
+        F.when(stored, F.coalesce("adapter_id", "e.lora_name")).otherwise(F.col("adapter_id")).alias("adapter_id"), told(before).alias("prefix_hash"), "block_hash", told(F.col("pos").cast("long")).alias("block_index"),
+        told(F.col("e.block_size")).alias("token_count"), told(tier_of(F.coalesce("e.medium", F.lit("hbm")))).alias("tier"), told(F.coalesce("e.bytes_per_block", "batch_bytes", F.lit(BLOCK_BYTES))).alias("bytes"), "ts_ms",
+    )
+
+
+def wire_event(kind: Column, hashes: Column, parent: Column, tokens: Column, block_size: Column, medium: Column, lora: Column, typed: bool) -> Column:
+    """An engine's event in the JSON form of a batch; hashes and parent are binary and become hexadecimal.
+
+    ``typed`` events have exact kinds and block sizes and default to fast memory; loose ones are told by parts of their
+    kind's name, or by having hashes, and their block size falls back to the number of tokens, then to 16.
+    """
+    low, text = F.lower(F.coalesce(kind, F.lit(""))), lambda h: F.lower(F.hex(h))
+    if typed:
+        op = F.when(kind == "BlockStored", "block_stored").when(kind == "BlockRemoved", "block_removed").when(kind == "AllBlocksCleared", "all_blocks_cleared")
+        where, size = F.coalesce(F.when(medium != "", medium), F.lit("gpu")), block_size
+    else:
+        op = F.when(low.contains("clear"), "all_blocks_cleared").when(low.contains("remov"), "block_removed").when(low.contains("stor") | (F.size(hashes) > 0), "block_stored")
+        where, size = medium, F.coalesce(F.when(block_size != 0, block_size), F.when(F.size(tokens) > 0, F.size(tokens).cast("long")), F.lit(16).cast("long"))
+    stored = op == "block_stored"
+    return F.struct(
+        op.alias("type"), F.when(op != "all_blocks_cleared", F.transform(hashes, text)).alias("block_hashes"), F.when(stored, text(parent)).alias("parent_block_hash"),
+        F.when(stored, size).alias("block_size"), F.when(op != "all_blocks_cleared", where).alias("medium"), F.when(stored, lora).alias("lora_name"),
+    )
+
+
+def wire_batches(events: DataFrame, typed: bool) -> DataFrame:
+    """(batch_no, body): the event log as engines would send it, eight events a batch, in JSON."""
+    e = F.col("event_id")
+    kinds = {"click": "BlockStored", "purchase": "BlockStored", "error": "BlockRemoved", "signup": "AllBlocksCleared"} if typed else {"click": "kv_STORED", "purchase": "", "error": "blockRemoved", "signup": "cleared-all"}
+    kind = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in kinds.items()), F.lit("Heartbeat"))
+    n = F.when(kind == "Heartbeat", 0).otherwise(e % 3 + 1)
+    hashes = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")), lambda i: F.encode(F.concat(F.lit("h"), (e % 97 + i).cast("string")), "UTF-8"))
+    parent = F.when(e % 4 == 0, F.encode(F.concat(F.lit("h"), (e % 97 - 1).cast("string")), "UTF-8"))
+    tokens = F.when(e % 5 < 3, F.sequence(F.lit(1).cast("long"), e % 5 + 1)).otherwise(F.array().cast("array<bigint>"))
+    medium = F.element_at(F.array(*map(F.lit, ["GPU", "nvme", "s3", "DRAM", ""]), F.lit(None).cast("string")), (e % 6 + 1).cast("int"))
+    size = F.lit(32).cast("long") if typed else F.when(e % 7 > 1, e % 7)
+    rows = events.withColumn("w", wire_event(kind, F.slice(hashes, F.lit(1), n.cast("int")), parent, tokens, size, medium, F.when(e % 9 == 0, "lora-b"), typed))
+    batch = F.floor(e / 8)
+    rows = rows.groupBy(batch.alias("batch_no")).agg(F.sort_array(F.collect_list(F.struct("event_id", "w"))).alias("x"), F.min("event_id").alias("first"))
+    events_ = F.filter(F.col("x.w"), lambda w: w["type"].isNotNull())
+    body = F.struct(
+        F.concat(F.lit("w"), (F.col("batch_no") % 10).cast("string")).alias("engine_id"), F.when(F.col("batch_no") % 3 > 0, F.col("first") * 10).alias("ts_ms"), F.when(F.col("batch_no") % 4 == 1, "model-x").alias("model_id"),
+        F.when(F.col("batch_no") % 5 == 2, "lora-a").alias("adapter_id"), F.when(F.col("batch_no") % 3 == 1, "ten9").alias("tenant_id"), F.when(F.col("batch_no") % 2 == 1, F.lit(1 << 20).cast("long")).alias("bytes_per_block"), events_.alias("events"),
+    )
+    return rows.select("batch_no", F.to_json(body).alias("body"))
+
+
+def engine_defaults(workers: DataFrame) -> DataFrame:
+    return workers.select(F.col("worker_id").alias("engine_id"), F.lit("m").alias("default_model"), F.lit("t").alias("default_tokenizer"), F.concat(F.lit("ten"), (F.col("ord") % 3).cast("string")).alias("default_tenant"))
+
+
+def _wire_sql(typed: bool) -> str:
+    op = "CASE event_type WHEN 'click' THEN 'block_stored' WHEN 'purchase' THEN 'block_stored' WHEN 'error' THEN 'block_removed' WHEN 'signup' THEN 'all_blocks_cleared' END"
+    tokens = "CASE WHEN event_id % 5 < 3 THEN event_id % 5 + 1 END"
+    size = "32" if typed else f"coalesce(CASE WHEN event_id % 7 > 1 THEN event_id % 7 END, {tokens}, 16)"
+    return S.sql(f"""SELECT b AS batch_no, CAST(r - 1 AS INTEGER) AS event_no, w.worker_id, op, CASE WHEN b % 4 = 1 THEN 'model-x' ELSE 'm' END AS model_id, 't' AS tokenizer_id, CASE WHEN b % 3 = 1 THEN 'ten9' ELSE concat('ten', CAST(ord % 3 AS VARCHAR)) END AS tenant_id,
+  CASE WHEN b % 5 = 2 THEN 'lora-a' WHEN op = 'block_stored' AND event_id % 9 = 0 THEN 'lora-b' END AS adapter_id,
+  CASE WHEN op = 'block_stored' THEN CASE WHEN i > 0 THEN lower(hex(concat('h', CAST(event_id % 97 + i - 1 AS VARCHAR)))) WHEN event_id % 4 = 0 THEN lower(hex(concat('h', CAST(event_id % 97 - 1 AS VARCHAR)))) ELSE 'root' END END AS prefix_hash,
+  CASE WHEN op <> 'all_blocks_cleared' THEN lower(hex(concat('h', CAST(event_id % 97 + i AS VARCHAR)))) END AS block_hash, CASE WHEN op = 'block_stored' THEN i END AS block_index, CASE WHEN op = 'block_stored' THEN CAST({size} AS BIGINT) END AS token_count,
+  CASE WHEN op = 'block_stored' THEN CASE event_id % 6 WHEN 1 THEN 'local_ssd' WHEN 2 THEN 'object_store' WHEN 3 THEN 'cpu_dram' ELSE 'hbm' END END AS tier,
+  CASE WHEN op = 'block_stored' THEN CASE WHEN b % 2 = 1 THEN 1048576 ELSE 4194304 END END AS bytes, CASE WHEN b % 3 > 0 THEN first_id * 10 ELSE 0 END AS ts_ms
+FROM (SELECT *, unnest(range(CASE WHEN op = 'all_blocks_cleared' THEN 1 ELSE event_id % 3 + 1 END)) AS i FROM (
+  SELECT *, row_number() OVER (PARTITION BY b ORDER BY event_id) AS r FROM (SELECT event_id, event_id // 8 AS b, {op} AS op, min(event_id) OVER (PARTITION BY event_id // 8) AS first_id FROM events) x WHERE op IS NOT NULL) y) z
+JOIN workers w ON w.worker_id = concat('w', CAST(b % 10 AS VARCHAR))""", "workers")
+
+
+def _wire(name: str, typed: bool) -> None:
+    @query(name, _wire_sql(typed))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return event_rows(wire_batches(S.table(spark, sf, "events"), typed), engine_defaults(S.workers(spark, sf)))
+
+
+_wire("kv_event_rows", typed=True)
+_wire("kv_event_rows_loose", typed=False)
+
+
 @query("unknown_engines", S.sql("""
 SELECT e.worker_id AS engine_id, CASE WHEN w.worker_id IS NULL THEN 'unknown_engine' ELSE 'accepted' END AS outcome, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT * REPLACE (concat(worker_id, CASE WHEN seq % 50 = 0 THEN 'x' ELSE '' END) AS worker_id) FROM kv_events) e LEFT JOIN workers w ON e.worker_id = w.worker_id GROUP BY 1, 2""", "kv_events", "workers"))

@@ -18,10 +18,13 @@ def _long(name: str):  # noqa: ANN202
     return F.col(name).cast("long")
 
 
+WORKERS = 8
+
+
 def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fleet: eight workers."""
-    first = table(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(8)
-    rows = first.withColumn("ord", F.row_number().over(Window.orderBy("s_suppkey")).cast("long") - 1)
+    """The fleet: eight workers, each made of its share of all suppliers."""
+    rows = table(spark, sf_dir, "supplier").groupBy((_c("s_suppkey") % WORKERS).cast("long").alias("ord"))
+    rows = rows.agg(F.sum(F.floor(F.abs("s_acctbal")).cast("long")).alias("balance"), F.count("*").alias("n"), F.sum("s_suppkey").alias("keys"))
     role = F.when(_c("ord") % 4 == 0, "prefill").when(_c("ord") % 4 == 1, "decode").otherwise("aggregated")
     return rows.select(
         F.concat(F.lit("w"), _c("ord").cast("string")).alias("worker_id"),
@@ -29,9 +32,9 @@ def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
         role.alias("role"),
         F.concat(F.lit("dom"), (_c("ord") % 2).cast("string")).alias("locality_domain"),
         F.lit(85899345920).cast("long").alias("hbm_capacity_bytes"),
-        (F.floor(F.abs("s_acctbal")).cast("long") * 8000000).alias("hbm_used_bytes"),
-        ((_c("s_suppkey") * 37) % 2000).cast("long").alias("queued_prefill_tokens"),
-        ((_c("s_suppkey") * 5) % 7).cast("long").alias("running_decodes"),
+        (F.floor(_c("balance") / _c("n")).cast("long") * 8000000).alias("hbm_used_bytes"),
+        ((_c("keys") * 37) % 2000).cast("long").alias("queued_prefill_tokens"),
+        ((_c("keys") * 5) % 7).cast("long").alias("running_decodes"),
     )
 
 
@@ -55,7 +58,7 @@ def kv_events_of(events: DataFrame) -> DataFrame:
         F.when(_c("k") % 8 == 0, "root").otherwise(F.concat(F.lit("b"), (_c("k") - 1).cast("string"))).alias("prefix_hash"),
         (_c("k") % 8).alias("block_index"),
         F.lit(64).cast("long").alias("token_count"),
-        F.lit(4194304).cast("long").alias("bytes"),
+        (F.lit(4194304) - _c("event_id") % 5 * 524288).cast("long").alias("bytes"),
     )
 
 
@@ -140,9 +143,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "workers": ((), """SELECT concat('w', CAST(ord AS VARCHAR)) AS worker_id, CAST(ord AS BIGINT) AS ord,
   CASE ord % 4 WHEN 0 THEN 'prefill' WHEN 1 THEN 'decode' ELSE 'aggregated' END AS role,
   concat('dom', CAST(ord % 2 AS VARCHAR)) AS locality_domain, CAST(85899345920 AS BIGINT) AS hbm_capacity_bytes,
-  CAST(floor(abs(s_acctbal)) AS BIGINT) * 8000000 AS hbm_used_bytes,
-  CAST((s_suppkey * 37) % 2000 AS BIGINT) AS queued_prefill_tokens, CAST((s_suppkey * 5) % 7 AS BIGINT) AS running_decodes
-FROM (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_suppkey) - 1 AS ord FROM supplier) t WHERE ord < 8"""),
+  (balance // n) * 8000000 AS hbm_used_bytes,
+  CAST((keys * 37) % 2000 AS BIGINT) AS queued_prefill_tokens, CAST((keys * 5) % 7 AS BIGINT) AS running_decodes
+FROM (SELECT s_suppkey % 8 AS ord, CAST(sum(CAST(floor(abs(s_acctbal)) AS BIGINT)) AS BIGINT) AS balance, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM supplier GROUP BY 1) t"""),
     "kv_events": ((), """SELECT event_id AS seq, concat('w', CAST(user_id % 8 AS VARCHAR)) AS worker_id,
   CASE WHEN event_type = 'signup' AND event_id % 40 = 0 THEN 'all_blocks_cleared'
        WHEN event_type = 'error' THEN 'block_removed' ELSE 'block_stored' END AS op,
@@ -150,10 +153,10 @@ FROM (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_suppkey) - 1 AS
   concat('ten', CAST(user_id % 3 AS VARCHAR)) AS tenant_id, CASE WHEN user_id % 5 = 0 THEN 'lora-a' END AS adapter_id,
   concat('b', CAST(k AS VARCHAR)) AS block_hash,
   CASE WHEN k % 8 = 0 THEN 'root' ELSE concat('b', CAST(k - 1 AS VARCHAR)) END AS prefix_hash,
-  k % 8 AS block_index, CAST(64 AS BIGINT) AS token_count, CAST(4194304 AS BIGINT) AS bytes
+  k % 8 AS block_index, CAST(64 AS BIGINT) AS token_count, CAST(4194304 - event_id % 5 * 524288 AS BIGINT) AS bytes
 FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events) t"""),
     "residency": (("kv_events",), """SELECT st.* FROM (
-  SELECT worker_id, tenant_id, adapter_id, prefix_hash, block_hash, block_index, token_count, tier, max(seq) AS put_seq, max(bytes) AS bytes
+  SELECT worker_id, tenant_id, adapter_id, prefix_hash, block_hash, block_index, token_count, tier, max(seq) AS put_seq, arg_max(bytes, seq) AS bytes
   FROM kv_events WHERE op = 'block_stored' GROUP BY ALL) st
 LEFT JOIN (SELECT worker_id, tenant_id, adapter_id, block_hash, max(seq) AS rm_seq FROM kv_events WHERE op = 'block_removed' GROUP BY ALL) rm
   ON st.worker_id = rm.worker_id AND st.tenant_id = rm.tenant_id AND st.block_hash = rm.block_hash AND st.adapter_id IS NOT DISTINCT FROM rm.adapter_id

@@ -1,7 +1,8 @@
 """Continuous forms of the event fold and of roll-ups.
 
 The fold keeps the latest position of every key and operation, a maximum that a streaming aggregation maintains in its
-state store; each batch then derives the residency table from that state with the batch fold, so stream and batch agree.
+state store. Each batch writes what changed under its own number, so a repeated batch replaces itself and nothing that a
+reader sees is rewritten; the residency table is the batch fold of all that was written, so stream and batch agree.
 """
 
 from __future__ import annotations
@@ -31,19 +32,26 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 def latest_positions(events: DataFrame) -> DataFrame:
     """The event log reduced to the last of each key and operation: what a fold needs of it."""
-    return events.groupBy("worker_id", *KEY, "tier", "op").agg(F.max("seq").alias("seq"), F.max("bytes").alias("bytes"))
+    last = F.max(F.struct("seq", "bytes")).alias("last")
+    return events.groupBy("worker_id", *KEY, "tier", "op").agg(last).select("worker_id", *KEY, "tier", "op", "last.seq", "last.bytes")
 
 
-def run_residency_stream(spark: SparkSession, events: DataFrame, out: str, checkpoint: str) -> None:
-    """Fold a stream of events (the columns of ``kv_events``) into ``out``; the last batch's version replaces the earlier."""
+def run_updates(changed: DataFrame, out: str, checkpoint: str) -> None:
+    """Write the rows of a streaming aggregation that changed in each batch, a folder a batch."""
 
-    def write(state: DataFrame, batch: int) -> None:
-        fold_events(state).write.mode("overwrite").parquet(out)
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    stream = latest_positions(events).writeStream.outputMode("complete").foreachBatch(write)
+    stream = changed.writeStream.outputMode("update").foreachBatch(write)
     stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_residency_stream(spark: SparkSession, events: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Fold a stream of events (the columns of ``kv_events``); the table as of the last batch."""
+    run_updates(latest_positions(events), out, checkpoint)
+    return fold_events(spark.read.parquet(out).drop("batch"))
+
+
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     # A glob for the one name: a stream's plain path has to be a folder, and a table may be a single file.
@@ -53,8 +61,7 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("stream_residency", S.sql("SELECT worker_id, tenant_id, adapter_id, prefix_hash, block_hash, block_index, token_count, tier, put_seq, bytes FROM residency", "residency"))
 def stream_residency(spark: SparkSession, sf: str) -> DataFrame:
     out, checkpoint = shared_folder(spark, "residency"), shared_folder(spark, "residency-state")
-    run_residency_stream(spark, S.kv_events_of(read_stream(spark, sf, "events")), out, checkpoint)
-    return spark.read.parquet(out)
+    return run_residency_stream(spark, S.kv_events_of(read_stream(spark, sf, "events")), out, checkpoint)
 
 
 @query("stream_event_rollup", "SELECT date_trunc('hour', ts) AS hour, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
@@ -63,9 +70,7 @@ def stream_event_rollup(spark: SparkSession, sf: str) -> DataFrame:
     out, checkpoint = shared_folder(spark, "rollup"), shared_folder(spark, "rollup-state")
     rows = read_stream(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
     rows = rows.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-
-    def write(state: DataFrame, batch: int) -> None:
-        state.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 6).alias("total")).write.mode("overwrite").parquet(out)
-
-    rows.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    run_updates(rows.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total"), out, checkpoint)
+    # The last batch that told of a row has its value.
+    last = spark.read.parquet(out).groupBy("hour", "event_type").agg(F.max(F.struct("batch", "n", "total")).alias("x"))
+    return last.select("hour", "event_type", "x.n", F.round("x.total", 6).alias("total"))
