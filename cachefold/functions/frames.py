@@ -9,7 +9,7 @@ BROADCAST_ROWS = 10_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is that small; otherwise as it is, and Spark shuffles the join."""
+    """``df`` marked for broadcast if it is that small; otherwise as it is, and Spark plans the join by its own estimates."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
@@ -31,3 +31,17 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], name: str = "_
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     out = df.withColumn(name, rank).where(F.col(name) <= keep)
     return out.drop(name) if name == "_rank" else out
+
+
+def running_before(df: DataFrame, first: list[str], time: str, last: list[str], value: str, name: str, width: int = 64) -> DataFrame:
+    """``name``: the sum of ``value`` over the rows before, in the order (``first``, ``time``, ``last``), without sorting all rows at once.
+
+    ``time`` is a whole number. Values are summed in runs of ``width`` times; only the sums of runs are ordered globally.
+    """
+    rows = df.withColumn("_run", F.floor(F.col(time) / width))
+    runs = rows.groupBy(*first, "_run").agg(F.sum(value).alias("_sum"))
+    earlier = Window.orderBy(*first, "_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*first, "_run", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*first, "_run").orderBy(time, *last).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(runs, [*first, "_run"])
+    return rows.withColumn(name, F.col("_before") + F.col("_inner")).drop("_run", "_inner", "_before")

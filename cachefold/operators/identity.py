@@ -37,12 +37,20 @@ def scopes_by_content(blocks: DataFrame) -> DataFrame:
 @query("reuse_violation_pairs", S.sql("SELECT coalesce(v, 'match') AS violation, CAST(count(*) AS BIGINT) AS n_pairs FROM (SELECT " + VIOLATION_SQL.format(a="x", b="y") + """ AS v
 FROM docs x JOIN docs y ON x.block_hash = y.block_hash AND x.doc_id <> y.doc_id) t GROUP BY 1""", "docs"))
 def reuse_violation_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered pairs of equal content by violation class: scopes are counted first, so copies never meet one by one."""
-    scopes = scopes_by_content(S.docs(spark, sf))
-    a, b = renamed(scopes, "a_", [*SCOPE, "n", "first"]), renamed(scopes, "b_", [*SCOPE, "n", "first"])
-    pairs = a.join(b, "block_hash").withColumn("violation", F.coalesce(violation("a_", "b_"), F.lit("match")))
-    n = F.when(F.col("violation") == "match", F.col("a_n") * (F.col("a_n") - 1)).otherwise(F.col("a_n") * F.col("b_n"))
-    return pairs.groupBy("violation").agg(F.sum(n).alias("n_pairs")).where("n_pairs > 0")
+    """Ordered pairs of equal content by violation class.
+
+    Pairs that agree in the first classes of a scope are counted from group sizes, n * n a group, from whole scopes up to
+    the content alone; the difference between two levels is the pairs that first differ there. No pair is made.
+    """
+    counts = scopes_by_content(S.docs(spark, sf)).select("block_hash", *SCOPE, "n")
+    squares, kinds = [], ["cross_model", "cross_tokenizer", "cross_adapter", "cross_tenant"]
+    for depth in range(len(SCOPE), -1, -1):
+        counts = counts.groupBy("block_hash", *SCOPE[:depth]).agg(F.sum("n").alias("n"))
+        squares.append(counts.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias(f"d{depth}"), F.coalesce(F.sum("n"), F.lit(0)).alias(f"rows{depth}")))
+    row = reduce(lambda a, b: a.join(b), squares)  # five rows of one
+    told = [F.struct(F.lit("match").alias("violation"), (F.col("d4") - F.col("rows4")).alias("n_pairs"))]
+    told += [F.struct(F.lit(kind).alias("violation"), (F.col(f"d{i}") - F.col(f"d{i + 1}")).alias("n_pairs")) for i, kind in enumerate(kinds)]
+    return row.select(F.explode(F.array(*told)).alias("x")).select("x.*").where("n_pairs > 0")
 
 
 def audited(asked: DataFrame, held: DataFrame) -> DataFrame:
@@ -58,21 +66,6 @@ def audited(asked: DataFrame, held: DataFrame) -> DataFrame:
 AUDIT_SQL = "SELECT q.doc_id, CASE WHEN count(h.doc_id) = 0 THEN 'absent' WHEN bool_or(h.doc_id IS NOT NULL AND (" + VIOLATION_SQL.format(a="q", b="h") + ") IS NULL) THEN 'safe' ELSE arg_min(" + VIOLATION_SQL.format(a="q", b="h") + ", h.doc_id) END AS outcome"
 
 
-@query("reuse_audit", S.sql(f"SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM ({AUDIT_SQL} FROM docs q LEFT JOIN docs h ON q.block_hash = h.block_hash AND h.doc_id % 2 = 1 WHERE q.doc_id % 2 = 0 GROUP BY q.doc_id) t GROUP BY outcome", "docs"))
-def reuse_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Even documents ask for what odd ones hold: safe reuses and refusals by class."""
-    docs = S.docs(spark, sf)
-    return audited(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")).groupBy("outcome").agg(F.count("*").alias("n"))
-
-
-@query("guarded_get", S.sql(f"SELECT doc_id, CASE outcome WHEN 'safe' THEN 'hit' WHEN 'absent' THEN 'not_found' ELSE 'unsafe_reuse' END AS result FROM ({AUDIT_SQL} FROM docs q LEFT JOIN docs h ON q.block_hash = h.block_hash AND h.doc_id % 2 = 1 WHERE q.doc_id % 2 = 0 GROUP BY q.doc_id) t", "docs"))
-def guarded_get(spark: SparkSession, sf: str) -> DataFrame:
-    """A get by content: the own scope's block, a refusal if only others hold it, or nothing."""
-    docs = S.docs(spark, sf)
-    rows = audited(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
-    return rows.select("doc_id", F.when(F.col("outcome") == "safe", "hit").when(F.col("outcome") == "absent", "not_found").otherwise("unsafe_reuse").alias("result"))
-
-
 def audited_by_others(docs: DataFrame) -> DataFrame:
     """``audited`` for each block against all the others.
 
@@ -92,14 +85,25 @@ def audited_by_others(docs: DataFrame) -> DataFrame:
 OTHERS_SQL = f"({AUDIT_SQL} FROM docs q LEFT JOIN docs h ON q.block_hash = h.block_hash AND h.doc_id <> q.doc_id GROUP BY q.doc_id)"
 
 
-@query("reuse_audit_all", S.sql(f"SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM {OTHERS_SQL} t GROUP BY outcome", "docs"))
-def reuse_audit_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document asks for what the others hold: safe reuses and refusals by class."""
-    return audited_by_others(S.docs(spark, sf)).groupBy("outcome").agg(F.count("*").alias("n"))
+def _reuse_audit(name: str):  # noqa: ANN202
+    @query(name, S.sql(f"SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM {OTHERS_SQL} t GROUP BY outcome", "docs"))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """Every document asks for what the others hold: safe reuses and refusals by class."""
+        return audited_by_others(S.docs(spark, sf)).groupBy("outcome").agg(F.count("*").alias("n"))
+
+    return run
+
+
+def _guarded_get(name: str):  # noqa: ANN202
+    @query(name, S.sql(f"SELECT doc_id, CASE outcome WHEN 'safe' THEN 'hit' WHEN 'absent' THEN 'not_found' ELSE 'unsafe_reuse' END AS result FROM {OTHERS_SQL} t", "docs"))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """A get by content: the own scope's block, a refusal if only others hold it, or nothing."""
+        rows = audited_by_others(S.docs(spark, sf))
+        return rows.select("doc_id", F.when(F.col("outcome") == "safe", "hit").when(F.col("outcome") == "absent", "not_found").otherwise("unsafe_reuse").alias("result"))
+
+    return run
 
 
-@query("guarded_get_all", S.sql(f"SELECT doc_id, CASE outcome WHEN 'safe' THEN 'hit' WHEN 'absent' THEN 'not_found' ELSE 'unsafe_reuse' END AS result FROM {OTHERS_SQL} t", "docs"))
-def guarded_get_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``guarded_get`` for every document, among all the others."""
-    rows = audited_by_others(S.docs(spark, sf))
-    return rows.select("doc_id", F.when(F.col("outcome") == "safe", "hit").when(F.col("outcome") == "absent", "not_found").otherwise("unsafe_reuse").alias("result"))
+# Both names of each are kept: the first ones once asked for even documents only.
+reuse_audit, reuse_audit_all = _reuse_audit("reuse_audit"), _reuse_audit("reuse_audit_all")
+guarded_get, guarded_get_all = _guarded_get("guarded_get"), _guarded_get("guarded_get_all")

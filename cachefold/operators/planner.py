@@ -1,8 +1,8 @@
 """Routing: the cost of every request on every candidate worker, and the policies that pick one.
 
-A block's possible sources are joined once and kept in one array a block (at most fleet x tiers entries); costs on each
-candidate are then array expressions, so the only other shuffle is the aggregation by request. A policy is an ordering
-of the candidates of a request.
+The sources of a resident block are gathered into one array (at most fleet x tiers entries) before requests meet them, so
+a block that all requests share is one row there; costs on each candidate are then array expressions, and the only other
+shuffle is the aggregation by request. A policy is an ordering of the candidates of a request.
 """
 
 from __future__ import annotations
@@ -33,16 +33,12 @@ def candidates(workers: DataFrame) -> DataFrame:
 
 
 def block_sources(blocks: DataFrame, resident: DataFrame, workers: DataFrame) -> DataFrame:
-    """The blocks, each with an array of where it lies: (worker, domain, tier, bytes, put_seq)."""
+    """The blocks, each with an array of where it lies: (worker, domain, tier, bytes, put_seq); null if nowhere."""
     keyed = blocks.withColumnRenamed("pos", "block_index")
     domains = small(workers.select("worker_id", F.col("locality_domain").alias("domain")))
-    held = resident.join(domains, "worker_id", "left")
+    held = resident.join(domains, "worker_id", "left").groupBy(*KEY).agg(F.collect_list(F.struct("worker_id", "domain", "tier", "bytes", "put_seq")).alias("sources"))
     joined = keyed.join(held, same(keyed, held, KEY), "left")
-    source = F.when(F.col("worker_id").isNotNull(), F.struct("worker_id", "domain", "tier", "bytes", "put_seq"))
-    return joined.groupBy("request_id", keyed["block_index"].alias("pos")).agg(
-        F.first(keyed["tenant_id"]).alias("tenant_id"), F.first(keyed["adapter_id"]).alias("adapter_id"), F.first(keyed["prefix_hash"]).alias("prefix_hash"),
-        F.first(keyed["block_hash"]).alias("block_hash"), F.first(keyed["token_count"]).alias("token_count"), F.collect_list(source).alias("sources"),
-    )
+    return joined.select("request_id", keyed["block_index"].alias("pos"), *(keyed[c] for c in ("tenant_id", "adapter_id", "prefix_hash", "block_hash", "token_count")), "sources")
 
 
 def block_choices(blocks: DataFrame, resident: DataFrame, workers: DataFrame) -> DataFrame:
@@ -234,9 +230,13 @@ def actions(choices: DataFrame, decisions: DataFrame, requests: DataFrame, worke
 
 
 def greedy_actions(spark: SparkSession, sf: str) -> DataFrame:
+    return routed_actions(spark, sf, "greedy")
+
+
+def routed_actions(spark: SparkSession, sf: str, policy: str) -> DataFrame:
     requests, workers = S.requests(spark, sf), S.workers(spark, sf)
     choices = block_choices(S.request_blocks(spark, sf), fold_events(S.kv_events(spark, sf)), workers)
-    return actions(choices, decide(plans(choices, requests), "greedy"), requests, workers)
+    return actions(choices, decide(plans(choices, requests), policy), requests, workers)
 
 
 ACTION_VIEWS = {
@@ -259,10 +259,10 @@ def plan_actions(spark: SparkSession, sf: str) -> DataFrame:
     return greedy_actions(spark, sf).select("request_id", seq.alias("seq"), "action", "at_worker", "block_hash", "cost_us", "mode")
 
 
-@query("kv_handoff", plan_sql("SELECT request_id, string_agg(block_hash, ',' ORDER BY pos) AS handed FROM actions WHERE action = 'run_prefill' GROUP BY request_id", **ACTION_VIEWS))
+@query("kv_handoff", plan_sql("SELECT request_id, string_agg(block_hash, ',' ORDER BY pos) AS handed FROM actions WHERE action = 'run_prefill' GROUP BY request_id", **(ACTION_VIEWS | {"d": decision_view("round_robin")})))
 def kv_handoff(spark: SparkSession, sf: str) -> DataFrame:
-    """The blocks that a separate prefill worker hands to the decode worker."""
-    rows = greedy_actions(spark, sf).where("action = 'run_prefill'").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("pos", "block_hash"))).alias("x"))
+    """The blocks that a separate prefill worker hands to the decode worker, when requests go round."""
+    rows = routed_actions(spark, sf, "round_robin").where("action = 'run_prefill'").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("pos", "block_hash"))).alias("x"))
     return rows.select("request_id", F.array_join(F.col("x.block_hash"), ",").alias("handed"))
 
 
