@@ -72,12 +72,21 @@ CHAT_SQL = """SELECT conv_id, turn, text FROM (SELECT c.conv_id, c.turn, c.role,
 
 
 def chat_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """(conv_id, turn, text): at each user turn, a shared system text and the conversation so far."""
+    """(conv_id, turn, text): at each user turn, a shared system text and the conversation so far, as much as blocks read.
+
+    A prompt is a prefix of its conversation, so the text that blocks read is gathered once a conversation, from the turns
+    that begin inside it, and each turn takes its share.
+    """
+    most = BLOCK_CHARS * MOST_BLOCKS
     turns, system = S.table(spark, sf, "conversations"), S.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("system"))
+    said = F.concat("role", F.lit(":"), "text", F.lit("\n"))
     so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    said = F.array_join(F.collect_list(F.concat("role", F.lit(":"), "text", F.lit("\n"))).over(so_far), "")
-    rows = turns.withColumn("said", said).where("role = 'user'").join(system, F.col("conv_id") % 4 == F.col("item_id"))
-    return rows.select("conv_id", "turn", F.concat("system", "said").alias("text"))
+    rows = turns.select("conv_id", "turn", "role", said.alias("said")).withColumn("size", F.coalesce(F.char_length("said"), F.lit(0)))
+    rows = rows.withColumn("upto", F.sum("size").over(so_far))
+    told = rows.where(F.col("upto") - F.col("size") < most).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.left("said", F.lit(most)).alias("said")))).alias("x"))
+    told = told.select("conv_id", F.array_join("x.said", "").alias("told"))
+    asked = rows.where("role = 'user'").select("conv_id", "turn", "upto").join(told, "conv_id").join(system, F.col("conv_id") % 4 == F.col("item_id"))
+    return asked.select("conv_id", "turn", F.concat("system", F.left("told", F.least("upto", F.lit(most)).cast("int"))).alias("text"))
 
 
 @query("prefix_blocks_chat", "WITH chat AS (" + CHAT_SQL + ") " + TEXT_BLOCKS_SQL.format(keys="conv_id, turn", source="chat"))

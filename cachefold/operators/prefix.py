@@ -109,9 +109,8 @@ def decayed(counts: DataFrame, last: DataFrame) -> DataFrame:
     return rows.select("block_hash", hotness.alias("hotness")).where("hotness > 0")
 
 
-WIDTH, DEPTH = 256, 4
-#: Fixed value: the width that the reference's store uses.
-STORE_WIDTH = 4096
+#: The size of the store's sketch.
+WIDTH, DEPTH = 4096, 4
 
 
 def sketch(adds: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
@@ -139,13 +138,7 @@ def cell_of(key, row, width: int):  # noqa: ANN001, ANN201
     return stable_hash(F.concat(key, F.lit(":"), row.cast("string"))) % width
 
 
-@query("count_min_sketch", S.sql("""SELECT block_hash AS key, CAST(min(least(255, list_reduce(l[1:-2], lambda a, x: least(255, a + x) // 2, 0::BIGINT) + l[-1])) AS BIGINT) AS estimate FROM (
-  SELECT k.block_hash, k.r, list(coalesce(n, 0) ORDER BY e) AS l FROM keys k CROSS JOIN (SELECT unnest(range((SELECT (max(seq) + 1) // 1024 FROM adds) + 1)) AS e) g
-  LEFT JOIN (SELECT r, cell, ep, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL) z ON z.r = k.r AND z.cell = k.cell AND z.ep = g.e GROUP BY ALL) t GROUP BY 1""", "kv_events",
-  adds="SELECT block_hash, row_number() OVER (ORDER BY seq) - 1 AS seq FROM kv_events WHERE op = 'block_stored'",
-  keys="SELECT block_hash, r, CAST(('0x' || substr(md5(concat(block_hash, ':', CAST(r AS VARCHAR))), 1, 8)) AS BIGINT) % 256 AS cell FROM (SELECT DISTINCT block_hash FROM adds) a, range(4) d(r)",
-  cells="SELECT k.r, k.cell, a.seq // 1024 AS ep, CAST(count(*) AS BIGINT) AS n FROM adds a JOIN keys k ON k.block_hash = a.block_hash GROUP BY ALL"))
-def count_min_sketch(spark: SparkSession, sf: str, width: int = WIDTH) -> DataFrame:
+def sketch_estimates(spark: SparkSession, sf: str, width: int = WIDTH) -> DataFrame:
     from cachefold.functions.frames import with_position
 
     stored = S.kv_events(spark, sf).where("op = 'block_stored'").select(F.col("block_hash").alias("key"), F.col("seq").alias("at"))
@@ -155,15 +148,21 @@ def count_min_sketch(spark: SparkSession, sf: str, width: int = WIDTH) -> DataFr
     return keys.join(cells, (F.col("row") == F.col("r")) & (F.col("cell") == F.col("c"))).groupBy("key").agg(F.min("count").alias("estimate"))
 
 
-@query("count_min_sketch_store", S.sql("""SELECT block_hash AS key, CAST(min(least(255, list_reduce(l[1:-2], lambda a, x: least(255, a + x) // 2, 0::BIGINT) + l[-1])) AS BIGINT) AS estimate FROM (
+def _sketch(name: str):  # noqa: ANN202
+    @query(name, S.sql("""SELECT block_hash AS key, CAST(min(least(255, list_reduce(l[1:-2], lambda a, x: least(255, a + x) // 2, 0::BIGINT) + l[-1])) AS BIGINT) AS estimate FROM (
   SELECT k.block_hash, k.r, list(coalesce(n, 0) ORDER BY e) AS l FROM keys k CROSS JOIN (SELECT unnest(range((SELECT (max(seq) + 1) // 16384 FROM adds) + 1)) AS e) g
   LEFT JOIN (SELECT r, cell, ep, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL) z ON z.r = k.r AND z.cell = k.cell AND z.ep = g.e GROUP BY ALL) t GROUP BY 1""", "kv_events",
   adds="SELECT block_hash, row_number() OVER (ORDER BY seq) - 1 AS seq FROM kv_events WHERE op = 'block_stored'",
   keys="SELECT block_hash, r, CAST(('0x' || substr(md5(concat(block_hash, ':', CAST(r AS VARCHAR))), 1, 8)) AS BIGINT) % 4096 AS cell FROM (SELECT DISTINCT block_hash FROM adds) a, range(4) d(r)",
   cells="SELECT k.r, k.cell, a.seq // 16384 AS ep, CAST(count(*) AS BIGINT) AS n FROM adds a JOIN keys k ON k.block_hash = a.block_hash GROUP BY ALL"))
-def count_min_sketch_store(spark: SparkSession, sf: str) -> DataFrame:
-    """``count_min_sketch`` of the reference's width: 16,384 cells, halved after as many additions."""
-    return count_min_sketch(spark, sf, STORE_WIDTH)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return sketch_estimates(spark, sf)
+
+    return run
+
+
+# Both names are kept: the first one was once 256 cells wide.
+count_min_sketch, count_min_sketch_store = _sketch("count_min_sketch"), _sketch("count_min_sketch_store")
 
 
 TARGET_REPLICAS, HOT, MOST_ACTIONS = 6, 2, 32
