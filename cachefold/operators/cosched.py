@@ -20,24 +20,32 @@ POLICY = {
 }
 
 
-def tier_state(workers: DataFrame, resident: DataFrame) -> DataFrame:
-    """Bytes of each tier as the fleet and the index see them, the larger of the two, and pressure on fast memory."""
+def data_plane(objects: DataFrame) -> DataFrame:
+    """One row (hbm, dram, ssd): the bytes that the object store itself holds in each tier."""
+    part = lambda c, name: F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)).cast("long").alias(name)
+    return objects.agg(part(F.col("hard_pinned"), "p_hbm"), part(~F.col("hard_pinned") & F.col("soft_pinned"), "p_dram"), part(~F.col("hard_pinned") & ~F.col("soft_pinned"), "p_ssd"))
+
+
+def tier_state(workers: DataFrame, resident: DataFrame, plane: DataFrame) -> DataFrame:
+    """Bytes of each tier as the data plane, the fleet and the index see them, the largest of these, and pressure on fast memory."""
     part = lambda *t: F.coalesce(F.sum(F.when(F.col("tier").isin(*t), F.col("bytes"))), F.lit(0)).cast("long")
-    held = resident.agg(part("hbm", "remote_hbm").alias("r_hbm"), part("cpu_dram").alias("dram_bytes"), part("local_ssd").alias("ssd_bytes"), part("object_store").alias("object_bytes"))
+    held = resident.agg(part("hbm", "remote_hbm").alias("r_hbm"), part("cpu_dram").alias("r_dram"), part("local_ssd").alias("r_ssd"), part("object_store").alias("object_bytes"))
     fleet = workers.agg(F.sum("hbm_used_bytes").alias("w_hbm"), F.sum("hbm_capacity_bytes").alias("hbm_capacity"))
-    rows = held.join(fleet).withColumn("hbm_bytes", F.greatest("r_hbm", "w_hbm"))
-    return rows.select("hbm_bytes", "hbm_capacity", "dram_bytes", "ssd_bytes", "object_bytes", F.round(percent(F.col("hbm_bytes"), F.col("hbm_capacity")), 9).alias("hbm_pct"))
+    rows = held.join(fleet).join(plane).withColumn("hbm_bytes", F.greatest("p_hbm", "r_hbm", "w_hbm"))
+    pressure = F.round(percent(F.col("hbm_bytes"), F.col("hbm_capacity")), 9).alias("hbm_pct")
+    return rows.select("hbm_bytes", "hbm_capacity", F.greatest("p_dram", "r_dram").alias("dram_bytes"), F.greatest("p_ssd", "r_ssd").alias("ssd_bytes"), "object_bytes", pressure)
 
 
-TIER_STATE_SQL = """SELECT greatest(r.h, w.u) AS hbm_bytes, w.c AS hbm_capacity, r.d AS dram_bytes, r.s AS ssd_bytes, r.o AS object_bytes, round(100.0::DOUBLE * greatest(r.h, w.u) / w.c, 9) AS hbm_pct FROM
+TIER_STATE_SQL = """SELECT greatest(p.h, r.h, w.u) AS hbm_bytes, w.c AS hbm_capacity, greatest(p.d, r.d) AS dram_bytes, greatest(p.s, r.s) AS ssd_bytes, r.o AS object_bytes, round(100.0::DOUBLE * greatest(p.h, r.h, w.u) / w.c, 9) AS hbm_pct FROM
   (SELECT CAST(coalesce(sum(bytes) FILTER (WHERE tier IN ('hbm', 'remote_hbm')), 0) AS BIGINT) AS h, CAST(coalesce(sum(bytes) FILTER (WHERE tier = 'cpu_dram'), 0) AS BIGINT) AS d,
     CAST(coalesce(sum(bytes) FILTER (WHERE tier = 'local_ssd'), 0) AS BIGINT) AS s, CAST(coalesce(sum(bytes) FILTER (WHERE tier = 'object_store'), 0) AS BIGINT) AS o FROM residency) r,
+  (SELECT CAST(coalesce(sum(size) FILTER (WHERE hard_pinned), 0) AS BIGINT) AS h, CAST(coalesce(sum(size) FILTER (WHERE NOT hard_pinned AND soft_pinned), 0) AS BIGINT) AS d, CAST(coalesce(sum(size) FILTER (WHERE NOT hard_pinned AND NOT soft_pinned), 0) AS BIGINT) AS s FROM objects) p,
   (SELECT CAST(sum(hbm_used_bytes) AS BIGINT) AS u, CAST(sum(hbm_capacity_bytes) AS BIGINT) AS c FROM workers) w"""
 
 
-@query("tier_observation", S.sql("SELECT * FROM t", "residency", "workers", t=TIER_STATE_SQL))
+@query("tier_observation", S.sql("SELECT * FROM t", "residency", "workers", "objects", t=TIER_STATE_SQL))
 def tier_observation(spark: SparkSession, sf: str) -> DataFrame:
-    return tier_state(S.workers(spark, sf), S.residency(spark, sf))
+    return tier_state(S.workers(spark, sf), S.residency(spark, sf), data_plane(S.objects(spark, sf)))
 
 
 @query("most_pressured_worker", S.sql("SELECT worker_id FROM workers WHERE hbm_capacity_bytes > 0 ORDER BY CAST(hbm_used_bytes AS HUGEINT) * 1000000 // hbm_capacity_bytes DESC, worker_id DESC LIMIT 1", "workers"))
@@ -99,7 +107,7 @@ def snapshot_of(spark: SparkSession, sf: str) -> DataFrame:
     trace = traces(spark, sf)
     slo = goodput(trace, 2 + F.col("ord")).select(F.col("mean_ttft_ms").alias("ttft_ms"), F.col("mean_budget_ms").alias("budget_ms"), "goodput_pct")
     moved = transfer_observation(transfer_telemetry(S.layer_transfers(spark, sf))).select("first_layer_ms", "full_ms", "overlap_pct", "queue_depth")
-    tiers = tier_state(S.workers(spark, sf), S.residency(spark, sf)).select("hbm_pct")
+    tiers = tier_state(S.workers(spark, sf), S.residency(spark, sf), data_plane(S.objects(spark, sf))).select("hbm_pct")
     return slo.join(cache_rates(trace).select("remote_pct")).join(moved).join(tiers)
 
 
@@ -111,7 +119,7 @@ UNION ALL SELECT 2, row_number() OVER (ORDER BY accesses DESC, prefix_hash, tena
 UNION ALL SELECT 3, 0, 'demote_prefix', (SELECT worker_id FROM workers ORDER BY CAST(hbm_used_bytes AS HUGEINT) * 1000000 // hbm_capacity_bytes DESC, worker_id DESC LIMIT 1), NULL, NULL, 'cpu_dram', 'demote_cold_hbm_blocks' FROM t WHERE hbm_pct >= 90
 UNION ALL SELECT 4, 0, 'tune_transfer_depth', NULL, NULL, NULL, NULL, 'prioritize_first_layer_or_switch_backend' FROM o WHERE first_layer_ms > 20 OR queue_depth >= 16 OR full_ms > 20 AND overlap_pct < 50
 UNION ALL SELECT 5, 0, 'admission_reject', NULL, NULL, NULL, NULL, 'enable_overload_rejection' FROM g, o, t WHERE 100 - goodput_pct > 10 AND queue_depth >= 16 AND hbm_pct >= 90) a QUALIFY row_number() OVER (ORDER BY stage, ord_no) <= 32""",
-  "layer_transfers", d=decision_view("greedy"), g=GOODPUT_SQL, rt=RATES_SQL, tele=TELEMETRY_SQL, o=OBSERVED_SQL, t=TIER_STATE_SQL, acc=ACCESS_SQL, h=HOLDERS_SQL))
+  "layer_transfers", "objects", d=decision_view("greedy"), g=GOODPUT_SQL, rt=RATES_SQL, tele=TELEMETRY_SQL, o=OBSERVED_SQL, t=TIER_STATE_SQL, acc=ACCESS_SQL, h=HOLDERS_SQL))
 def cosched_actions(spark: SparkSession, sf: str) -> DataFrame:
     hot = prefix_holders(accesses(S.request_blocks(spark, sf)), S.residency(spark, sf))
     return rule_actions(snapshot_of(spark, sf), hot, S.workers(spark, sf))

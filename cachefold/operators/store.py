@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cachefold.functions.columns import percent, small_float_down, small_float_up, small_float_value
-from cachefold.functions.frames import BROADCAST_ROWS, first_by
+from cachefold.functions.frames import BROADCAST_ROWS, first_by, running_before
 from cachefold.plans.registry import query
 from cachefold.sources import tables as S
 
@@ -80,34 +80,34 @@ def regex_objects(spark: SparkSession, sf: str, pattern: str = "^qc/Brand#1[0-9]
     return S.objects(spark, sf).where(F.col("object_key").rlike(pattern) & (F.col("tenant_id") == tenant)).select("object_key", "size")
 
 
-def eviction_order() -> list[Column]:
-    """Hard-pinned and leased objects never go; soft-pinned ones last; then the least recently used."""
-    return [F.col("soft_pinned").cast("int").asc(), F.col("last_access").asc(), F.col("object_key").asc()]
-
-
 def evicted(objects: DataFrame, seg: DataFrame, stop: Column) -> DataFrame:
-    """Victims of each segment: in eviction order while ``stop`` (on ``freed`` bytes so far) does not hold."""
-    able = objects.where(f"not hard_pinned and lease_until <= {NOW}")
-    before = Window.partitionBy("segment_name").orderBy(*eviction_order()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = able.withColumn("freed", F.coalesce(F.sum("size").over(before), F.lit(0))).join(seg, "segment_name")
+    """Victims among the objects of all segments, in one order, while ``stop`` does not hold.
+
+    ``stop`` is on the ``capacity`` and ``allocated`` bytes of all segments together, and the bytes ``freed`` so far.
+    """
+    able = objects.where(f"not hard_pinned and lease_until <= {NOW}").withColumn("soft", F.col("soft_pinned").cast("int"))
+    whole = seg.agg(F.sum("capacity").alias("capacity"), F.sum("allocated").alias("allocated"))  # one row
+    rows = running_before(able, ["soft"], "last_access", ["object_key"], "size", "freed").join(F.broadcast(whole))
     return rows.where(~stop).select("segment_name", "object_key", "size")
 
 
-EVICT_SQL = "SELECT o.segment_name, object_key, size, coalesce(sum(size) OVER (PARTITION BY o.segment_name ORDER BY CAST(soft_pinned AS INT), last_access, object_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM objects o WHERE NOT hard_pinned AND lease_until <= 1500"
+EVICT_SQL = "SELECT o.segment_name, object_key, size, coalesce(sum(size) OVER (ORDER BY CAST(soft_pinned AS INT), last_access, object_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM objects o WHERE NOT hard_pinned AND lease_until <= 1500"
+WHOLE_SQL = "SELECT CAST(sum(capacity) AS BIGINT) AS capacity, CAST(sum(allocated) AS BIGINT) AS allocated FROM seg"
 
 
-@query("watermark_eviction", S.sql("SELECT v.segment_name, object_key, size FROM v JOIN seg ON seg.segment_name = v.segment_name WHERE allocated >= 0.95::DOUBLE * capacity AND allocated - freed > floor(0.95::DOUBLE * 0.9::DOUBLE * capacity)", "objects", seg=SEGMENTS, v=EVICT_SQL))
+@query("watermark_eviction", S.sql("SELECT segment_name, object_key, size FROM v, w WHERE allocated >= 0.95::DOUBLE * capacity AND allocated - freed > floor(0.95::DOUBLE * 0.9::DOUBLE * capacity)", "objects", seg=SEGMENTS, v=EVICT_SQL, w=WHOLE_SQL))
 def watermark_eviction(spark: SparkSession, sf: str) -> DataFrame:
     objects = S.objects(spark, sf)
-    seg = segments(objects).where(F.col("allocated") >= HIGH * F.col("capacity")).select("segment_name", "capacity", "allocated")
-    return evicted(objects, seg, F.col("allocated") - F.col("freed") <= F.floor(F.lit(HIGH) * F.lit(KEEP) * F.col("capacity")))
+    below = F.col("allocated") < F.lit(HIGH) * F.col("capacity")
+    return evicted(objects, segments(objects), below | (F.col("allocated") - F.col("freed") <= F.floor(F.lit(HIGH) * F.lit(KEEP) * F.col("capacity"))))
 
 
-@query("evict_to_fit", S.sql("SELECT v.segment_name, object_key, size FROM v JOIN seg ON seg.segment_name = v.segment_name WHERE capacity - (allocated - freed) < 134217728", "objects", seg=SEGMENTS, v=EVICT_SQL))
-def evict_to_fit(spark: SparkSession, sf: str, needed: int = 128 << 20) -> DataFrame:
+@query("evict_to_fit", S.sql("SELECT segment_name, object_key, size FROM v, w WHERE capacity - (allocated - freed) < capacity * 8 // 100", "objects", seg=SEGMENTS, v=EVICT_SQL, w=WHOLE_SQL))
+def evict_to_fit(spark: SparkSession, sf: str, needed: int | None = None) -> DataFrame:
+    """Victims until ``needed`` bytes are free; by default 8 % of the capacity."""
     objects = S.objects(spark, sf)
-    seg = segments(objects).select("segment_name", "capacity", "allocated")
-    return evicted(objects, seg, F.col("capacity") - (F.col("allocated") - F.col("freed")) >= needed)
+    want = F.floor(F.col("capacity") * 8 / 100) if needed is None else F.lit(needed)
+    return evicted(objects, segments(objects), F.col("capacity") - (F.col("allocated") - F.col("freed")) >= want)
 
 
 @query("lease_blocked_removes", S.sql("SELECT object_key, CASE WHEN forced THEN 'removed' WHEN lease > 1500 THEN 'leased' ELSE 'removed' END AS outcome FROM (SELECT object_key, greatest(lease_until, CASE WHEN last_access % 4 = 0 THEN last_access + 5 ELSE 0 END) AS lease, last_access % 9 = 0 AS forced FROM objects) t", "objects"))
@@ -188,6 +188,101 @@ def recovered_files(wal: DataFrame, files: DataFrame) -> DataFrame:
     return last.join(files, ["seq", "length"]).select("key", "seq", "length")
 
 
+@query("wal_file_states", """WITH wal AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'tombstone' ELSE 'commit' END AS kind, concat('k', CAST(user_id AS VARCHAR)) AS key, CAST(length(props) AS BIGINT) AS length, md5(props) AS checksum FROM events),
+files AS (SELECT event_id AS seq, CAST(length(c) AS BIGINT) AS length, md5(c) AS checksum FROM (SELECT event_id, CASE event_id % 11 WHEN 3 THEN left(props, 3) WHEN 4 THEN concat(left(props, length(props) - 1), '?') ELSE props END AS c FROM events WHERE event_id % 11 <> 5) t)
+SELECT w.key, w.seq, CASE WHEN f.seq IS NULL THEN 'missing' WHEN f.length <> w.length THEN 'truncated' WHEN f.checksum <> w.checksum THEN 'corrupt' ELSE 'live' END AS state
+FROM (SELECT *, row_number() OVER (PARTITION BY key, seq % 50 ORDER BY seq DESC) AS r FROM wal) w LEFT JOIN files f ON f.seq = w.seq WHERE r = 1 AND kind = 'commit'""")
+def wal_file_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The last committed record of each key and slot with the state of its file; all but the live ones are dropped."""
+    e = S.table(spark, sf, "events")
+    sums = lambda c: [F.char_length(c).cast("long").alias("length"), F.md5(c.cast("binary")).alias("checksum")]
+    kind = F.when(F.col("event_type") == "error", "tombstone").otherwise("commit")
+    wal = e.select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), (F.col("event_id") % 50).alias("slot"), F.col("event_id").alias("seq"), kind.alias("kind"), *sums(F.col("props")))
+    rest = F.col("event_id") % 11
+    content = F.when(rest == 3, F.left("props", F.lit(3))).when(rest == 4, F.concat(F.left("props", F.char_length("props") - 1), F.lit("?"))).otherwise(F.col("props"))
+    files = e.where(rest != 5).withColumn("c", content).select(F.col("event_id").alias("seq"), *sums(F.col("c")))
+    return file_states(wal, files, ["key", "slot"]).select("key", "seq", "state")
+
+
+def file_states(wal: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq, state) of the last record of each key, if it is a commit: live, missing, truncated or corrupt."""
+    last = wal.groupBy(*keys).agg(F.max(F.struct("seq", "kind", "length", "checksum")).alias("x")).where("x.kind = 'commit'").select(*keys, "x.seq", "x.length", "x.checksum")
+    found = files.select("seq", F.col("length").alias("f_length"), F.col("checksum").alias("f_checksum"))
+    state = F.when(F.col("f_length").isNull(), "missing").when(F.col("f_length") != F.col("length"), "truncated").when(F.col("f_checksum") != F.col("checksum"), "corrupt").otherwise("live")
+    return last.join(found, "seq", "left").select(*keys, "seq", state.alias("state"))
+
+
+REPLICAS = "SELECT p_partkey // 3 AS object_no, p_partkey AS replica_id, CASE WHEN p_partkey % 5 = 0 THEN 'disk' ELSE 'memory' END AS kind, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS segment_name, p_partkey % 4 <> 0 AS complete FROM part"
+
+
+def replicas(spark: SparkSession, sf: str) -> DataFrame:
+    """(object_no, replica_id, kind, segment_name, complete): up to three an object, those on disk without a segment."""
+    key, disk = F.col("p_partkey"), F.col("p_partkey") % 5 == 0
+    return S.table(spark, sf, "part").select(F.floor(key / 3).alias("object_no"), key.alias("replica_id"), F.when(disk, "disk").otherwise("memory").alias("kind"), F.when(~disk, F.col("p_brand")).alias("segment_name"), (key % 4 != 0).alias("complete"))
+
+
+@query("replica_reads", S.sql("""SELECT object_no, asked_by, CASE WHEN n = 0 THEN 'not_found' WHEN asked_by <> concat('ten', CAST(object_no % 3 AS VARCHAR)) THEN 'unsafe_reuse' WHEN ok IS NULL THEN 'not_ready' ELSE 'ok' END AS outcome,
+  CASE WHEN n > 0 AND asked_by = concat('ten', CAST(object_no % 3 AS VARCHAR)) THEN ok END AS readable
+FROM (SELECT q.object_no, q.asked_by, count(r.replica_id) AS n, string_agg(CAST(r.replica_id AS VARCHAR), ',' ORDER BY r.replica_id) FILTER (WHERE complete AND (kind = 'disk' OR greatest(1500 - last_beat, 0) <= 700)) AS ok
+  FROM (SELECT p_partkey // 2 AS object_no, concat('ten', CAST(p_partkey % 7 % 3 AS VARCHAR)) AS asked_by FROM part GROUP BY ALL) q LEFT JOIN replicas r ON r.object_no = q.object_no LEFT JOIN seg ON seg.segment_name = r.segment_name GROUP BY 1, 2) t""", "objects", seg=SEGMENTS, replicas=REPLICAS))
+def replica_reads(spark: SparkSession, sf: str) -> DataFrame:
+    asked = S.table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 2).alias("object_no"), F.concat(F.lit("ten"), (F.col("p_partkey") % 7 % 3).cast("string")).alias("asked_by")).distinct()
+    return read_replicas(asked, replicas(spark, sf), segments(S.objects(spark, sf)), F.concat(F.lit("ten"), (F.col("object_no") % 3).cast("string")))
+
+
+def read_replicas(asked: DataFrame, replicas: DataFrame, segments: DataFrame, owner: Column) -> DataFrame:
+    """Each read's outcome and the replicas that may be read: complete, and on disk or in a segment that is alive.
+
+    Errors come in the order not found, unsafe reuse (another ``owner``), not ready.
+    """
+    up = segments.select(F.col("segment_name").alias("s"), alive(F.col("last_beat")).alias("up"))
+    held = replicas.join(up, F.col("segment_name") == F.col("s"), "left")
+    good = F.col("complete") & ((F.col("kind") == "disk") | F.coalesce("up", F.lit(False)))
+    held = held.groupBy("object_no").agg(F.array_sort(F.collect_list(F.when(good, F.col("replica_id")))).alias("ids"))
+    rows = asked.join(held, "object_no", "left")
+    error = F.when(F.col("ids").isNull(), "not_found").when(F.col("asked_by") != owner, "unsafe_reuse").when(F.size("ids") == 0, "not_ready")
+    return rows.select("object_no", "asked_by", F.coalesce(error, F.lit("ok")).alias("outcome"), F.when(error.isNull(), F.array_join(F.col("ids").cast("array<string>"), ",")).alias("readable"))
+
+
+SEGMENT_LOG = """SELECT event_id AS seq, concat('seg', CAST(user_id AS VARCHAR)) AS segment_name, concat('c', CAST(CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) % 2 AS VARCHAR)) AS client_id,
+  CASE event_type WHEN 'click' THEN 'mount' WHEN 'signup' THEN 'remount' WHEN 'purchase' THEN 'unmount' ELSE 'heartbeat' END AS op FROM events"""
+
+
+def segment_log(spark: SparkSession, sf: str) -> DataFrame:
+    op = F.when(F.col("event_type") == "click", "mount").when(F.col("event_type") == "signup", "remount").when(F.col("event_type") == "purchase", "unmount").otherwise("heartbeat")
+    client = F.concat(F.lit("c"), (F.regexp_extract("props", "[0-9]+", 0).cast("long") % 2).cast("string"))
+    return S.table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("seg"), F.col("user_id").cast("string")).alias("segment_name"), client.alias("client_id"), op.alias("op"))
+
+
+@query("segment_lifecycle", """WITH log AS (""" + SEGMENT_LOG + """), spans AS (SELECT *, count(*) FILTER (WHERE op IN ('mount', 'remount')) OVER (PARTITION BY segment_name ORDER BY seq) AS span FROM log),
+owned AS (SELECT *, first_value(client_id) OVER (PARTITION BY segment_name, span ORDER BY seq) AS owner FROM spans),
+done AS (SELECT *, min(seq) FILTER (WHERE op = 'unmount' AND span > 0 AND client_id = owner) OVER (PARTITION BY segment_name, span) AS ended FROM owned)
+SELECT segment_name, CASE WHEN max(span) > 0 AND arg_max(ended, seq) IS NULL THEN arg_max(owner, seq) END AS owner,
+  CASE WHEN max(span) > 0 AND arg_max(ended, seq) IS NULL THEN max(seq) FILTER (WHERE op IN ('mount', 'remount') OR op = 'heartbeat' AND span > 0 AND client_id = owner) END AS last_beat,
+  count(*) FILTER (WHERE op = 'unmount' AND seq = ended) AS unmounted, count(*) FILTER (WHERE op = 'unmount' AND (ended IS NULL OR seq <> ended)) AS refused FROM (SELECT segment_name, seq, op, client_id, span, owner, ended FROM done) d GROUP BY 1""".replace("arg_max(ended, seq)", "arg_max_null(ended, seq)"))
+def segment_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    return lifecycles(segment_log(spark, sf))
+
+
+def lifecycles(log: DataFrame) -> DataFrame:
+    """(segment_name, owner, last_beat, unmounted, refused) after a log of (seq, segment_name, client_id, op).
+
+    A mount or remount makes its client the owner; only the owner unmounts (others are refused, as is whoever finds it
+    unmounted) and keeps a segment alive. So a log falls into spans, one a mount, that can be told apart by a count.
+    """
+    mounts = F.col("op").isin("mount", "remount")
+    upto = Window.partitionBy("segment_name").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    span, inside = Window.partitionBy("segment_name", "span"), Window.partitionBy("segment_name", "span").orderBy("seq")
+    rows = log.withColumn("span", F.sum(mounts.cast("long")).over(upto)).withColumn("owner", F.first("client_id").over(inside))
+    mine = (F.col("span") > 0) & (F.col("client_id") == F.col("owner"))
+    rows = rows.withColumn("ended", F.min(F.when((F.col("op") == "unmount") & mine, F.col("seq"))).over(span))
+    beat = F.max(F.when(mounts | ((F.col("op") == "heartbeat") & mine), F.col("seq")))
+    refused = (F.col("op") == "unmount") & (F.col("ended").isNull() | (F.col("seq") != F.col("ended")))
+    out = rows.groupBy("segment_name").agg(F.max(F.struct("seq", "span", "owner", "ended")).alias("x"), beat.alias("beat"), F.count_if((F.col("op") == "unmount") & (F.col("seq") == F.col("ended"))).alias("unmounted"), F.count_if(refused).alias("refused"))
+    up = (F.col("x.span") > 0) & F.col("x.ended").isNull()
+    return out.select("segment_name", F.when(up, F.col("x.owner")).alias("owner"), F.when(up, F.col("beat")).alias("last_beat"), "unmounted", "refused")
+
+
 RANGES = "SELECT p_brand AS segment_name, p_partkey AS id, (p_partkey * 7919) % 2000 * 4096 AS byte_offset, CAST(p_size AS BIGINT) * 4096 AS size FROM part"
 
 
@@ -223,24 +318,14 @@ def small_float_bins(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("s", "up", "down", small_float_value(F.col("down")).alias("low"))
 
 
-@query("segment_candidates", S.sql("""SELECT object_key, string_agg(segment_name, ',' ORDER BY r) AS placed, CASE WHEN count(segment_name) < 2 THEN 'no_available_segment' ELSE 'ok' END AS outcome FROM (SELECT q.object_key, c.segment_name, r FROM q LEFT JOIN (
-  SELECT q.object_key, s.segment_name, row_number() OVER (PARTITION BY q.object_key ORDER BY CASE WHEN s.segment_name = q.preferred THEN 0 ELSE 1 END, s.free * 1.0::DOUBLE / s.capacity DESC, s.segment_name) AS r
-  FROM q JOIN s ON s.free >= q.size AND s.segment_name <> q.excluded) c ON c.object_key = q.object_key AND c.r <= 2) t GROUP BY 1""", "objects", seg=SEGMENTS,
-  s="SELECT segment_name, capacity, capacity - allocated AS free FROM seg", q="SELECT object_key, size, segment_name AS excluded, (SELECT max(segment_name) FROM seg) AS preferred FROM objects WHERE last_access % 20 = 0"))
-def segment_candidates(spark: SparkSession, sf: str, copies: int = 2) -> DataFrame:
-    """``segment_placement`` for the objects last used at a multiple of 20, as its SQL has it."""
-    objects = S.objects(spark, sf)
-    return placements(objects.where("last_access % 20 = 0"), segments(objects), copies)
-
-
-def placements(asked: DataFrame, held: DataFrame, copies: int = 2) -> DataFrame:
-    """Where ``copies`` replicas of an object go: segments that fit, the preferred one first, then by free share.
+def placements(asked: DataFrame, held: DataFrame, copies: int = 2, by: str = "free_ratio_first") -> DataFrame:
+    """Where ``copies`` replicas of an object go: segments that fit, the preferred one first, then by free share or as mounted.
 
     The segments are ranked once; few of them go to the objects as one array, many meet them in a join.
     """
     seg = held.select(F.col("segment_name").alias("s"), "capacity", (F.col("capacity") - F.col("allocated")).alias("free"))
     seg = seg.join(F.broadcast(seg.agg(F.max("s").alias("preferred"))))
-    order = [F.when(F.col("s") == F.col("preferred"), 0).otherwise(1).alias("other"), (-F.col("free").cast("double") / F.col("capacity")).alias("share"), F.col("s")]
+    order = [F.when(F.col("s") == F.col("preferred"), 0).otherwise(1).alias("other"), *([(-F.col("free").cast("double") / F.col("capacity")).alias("share")] if by == "free_ratio_first" else []), F.col("s")]
     asked = asked.select("object_key", "size", F.col("segment_name").alias("excluded"))
     if len(seg.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
         fleet = seg.agg(F.array_sort(F.collect_list(F.struct(*order, "free"))).alias("fleet"))
@@ -253,14 +338,25 @@ def placements(asked: DataFrame, held: DataFrame, copies: int = 2) -> DataFrame:
     return rows.select("object_key", F.when(F.size("x") > 0, F.array_join(F.col("x.s"), ",")).alias("placed"), F.when(F.coalesce(F.size("x"), F.lit(0)) < copies, "no_available_segment").otherwise("ok").alias("outcome"))
 
 
-@query("segment_placement", S.sql("""SELECT object_key, nullif(concat_ws(',', p[1], p[2]), '') AS placed, CASE WHEN len(p) < 2 THEN 'no_available_segment' ELSE 'ok' END AS outcome FROM (
-  SELECT q.object_key, coalesce(list(s.segment_name ORDER BY CASE WHEN s.segment_name = s.preferred THEN 0 ELSE 1 END, s.free * 1.0::DOUBLE / s.capacity DESC, s.segment_name) FILTER (WHERE s.segment_name IS NOT NULL), []) AS p
+def _placement(name: str, by: str):  # noqa: ANN202
+    share = "s.free * 1.0::DOUBLE / s.capacity DESC, " if by == "free_ratio_first" else ""
+
+    @query(name, S.sql(f"""SELECT object_key, nullif(concat_ws(',', p[1], p[2]), '') AS placed, CASE WHEN len(p) < 2 THEN 'no_available_segment' ELSE 'ok' END AS outcome FROM (
+  SELECT q.object_key, coalesce(list(s.segment_name ORDER BY CASE WHEN s.segment_name = s.preferred THEN 0 ELSE 1 END, {share}s.segment_name) FILTER (WHERE s.segment_name IS NOT NULL), []) AS p
   FROM objects q LEFT JOIN s ON s.free >= q.size AND s.segment_name <> q.segment_name GROUP BY 1) t""", "objects", seg=SEGMENTS,
-  s="SELECT segment_name, capacity, capacity - allocated AS free, (SELECT max(segment_name) FROM seg) AS preferred FROM seg"))
-def segment_placement(spark: SparkSession, sf: str, copies: int = 2) -> DataFrame:
-    """A placement of every object."""
-    objects = S.objects(spark, sf)
-    return placements(objects, segments(objects), copies)
+      s="SELECT segment_name, capacity, capacity - allocated AS free, (SELECT max(segment_name) FROM seg) AS preferred FROM seg"))
+    def run(spark: SparkSession, sf: str, copies: int = 2) -> DataFrame:
+        """A placement of every object."""
+        objects = S.objects(spark, sf)
+        return placements(objects, segments(objects), copies, by)
+
+    return run
+
+
+# Two names of the first strategy are kept: the first one once placed one object in twenty only.
+segment_candidates = _placement("segment_candidates", "free_ratio_first")
+segment_placement = _placement("segment_placement", "free_ratio_first")
+segment_placement_as_mounted = _placement("segment_placement_as_mounted", "mount_order")
 
 
 NICS = "SELECT s.s_suppkey AS location, n.n_nationkey AS nic, (s.s_suppkey * 31 + n.n_nationkey * 17) % 4 AS distance FROM supplier s JOIN nation n ON n.n_regionkey = s.s_suppkey % 5"

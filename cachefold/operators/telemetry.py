@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cachefold.functions.columns import percent
-from cachefold.operators.planner import DECISION, all_plans, decide, decision_view, plan_sql
+from cachefold.operators.planner import ACTION_VIEWS, DECISION, all_plans, block_choices, decide, decision_view, plan_sql, plans
 from cachefold.plans.registry import query
 from cachefold.sources import tables as S
 
@@ -85,12 +85,17 @@ def byte_slices(spark: SparkSession, sf: str, step: int = 4 << 20) -> DataFrame:
     return rows.select("object_key", F.col("slice_no").cast("long").alias("slice_no"), "byte_offset", F.least(F.lit(step).cast("long"), F.col("size") - F.col("byte_offset")).alias("length"))
 
 
-def percentile_rows(values: DataFrame, key: str, value: str, place: Column) -> DataFrame:
-    """The value at the 0-based ``place`` (of the group's ``n``), from a histogram: equal values are counted first."""
+def percentile_rows(values: DataFrame, key: str, value: str, place, shares: tuple[float, ...]) -> DataFrame:  # noqa: ANN001
+    """(key, p, value): the values at the 0-based places that ``place`` gives for each share p of the group's ``n``.
+
+    They are found in one histogram: equal values are counted first.
+    """
     counts = values.groupBy(key, value).agg(F.count("*").alias("c"))
     upto = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy(key))}).withColumn("place", place)
-    return rows.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c"))).select(key, F.col(value).alias("value"))
+    rows = counts.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy(key))})
+    wanted = F.array(*(F.struct(F.lit(p).alias("p"), place(p).alias("at")) for p in shares))
+    here = F.filter(wanted, lambda w: (w["at"] < F.col("upto")) & (w["at"] >= F.col("upto") - F.col("c")))
+    return rows.select(key, F.explode(here).alias("w"), F.col(value).alias("value")).select(key, "w.p", "value")
 
 
 PLACES = {  # (Spark place, SQL place) of percentile p among n values
@@ -100,15 +105,17 @@ PLACES = {  # (Spark place, SQL place) of percentile p among n values
 }
 
 
+SHARES = (0.5, 0.99, 0.999)
+
+
 def _percentiles(kind: str):  # noqa: ANN202
     place, text = PLACES[kind]
     one = "SELECT o_orderpriority, {p} AS p, v AS value FROM (SELECT o_orderpriority, CAST(floor(o_totalprice) AS BIGINT) AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY floor(o_totalprice)) - 1 AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) t WHERE r = {place}"
 
-    @query(f"latency_percentiles_{kind}", " UNION ALL ".join(one.format(p=f"{p}::DOUBLE", place=text.format(p=p)) for p in (0.5, 0.99, 0.999)))
+    @query(f"latency_percentiles_{kind}", " UNION ALL ".join(one.format(p=f"{p}::DOUBLE", place=text.format(p=p)) for p in SHARES))
     def run(spark: SparkSession, sf: str) -> DataFrame:
         values = S.table(spark, sf, "orders").select("o_orderpriority", F.floor("o_totalprice").cast("long").alias("v"))
-        parts = [percentile_rows(values, "o_orderpriority", "v", place(p)).select("o_orderpriority", F.lit(p).alias("p"), "value") for p in (0.5, 0.99, 0.999)]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return percentile_rows(values, "o_orderpriority", "v", place, SHARES)
 
     return run
 
@@ -159,14 +166,107 @@ def slo_goodput(spark: SparkSession, sf: str) -> DataFrame:
     return goodput(traces(spark, sf), 2 + F.col("ord"))
 
 
-@query("prometheus_rows", plan_sql(f"""SELECT concat('cache_', name, ' ', CAST(CAST(value AS BIGINT) AS VARCHAR)) AS line FROM (
-  SELECT unnest(['requests_total', 'local_hits_total', 'transfers_total', 'recomputes_total', 'resident_blocks']) AS name, unnest([(SELECT count(*) FROM d), (SELECT sum(local_hits) FROM d), (SELECT sum(transfers) FROM d), (SELECT sum(recomputes) FROM d), (SELECT count(*) FROM residency)]) AS value) t""", **TRACE_SQL))
+#: The exposed metrics: name, kind, what it tells, and its SQL over the views ``d`` (decisions), ``f`` (fetches), ``tele`` and ``residency``.
+METRICS = (
+    ("requests_total", "counter", "Requests routed.", "SELECT count(*) FROM d"),
+    ("local_hits_total", "counter", "Blocks used in place.", "SELECT sum(local_hits) FROM d"),
+    ("transfer_blocks_total", "counter", "Blocks fetched from elsewhere.", "SELECT sum(transfers) FROM d"),
+    ("transfer_requests_total", "counter", "Requests that fetch.", "SELECT count(*) FROM d WHERE transfers > 0"),
+    ("transfer_estimated_us_sum", "counter", "Estimated time of all fetches.", "SELECT sum(total_us) FROM f"),
+    ("transfer_first_estimated_us_sum", "counter", "Estimated time of first fetches.", "SELECT sum(first_us) FROM f"),
+    ("transfer_measured_events_total", "counter", "Measured transfers.", "SELECT count(*) FROM tele WHERE NOT failed"),
+    ("transfer_measured_first_layer_events_total", "counter", "Measured transfers with a first layer.", "SELECT count(first_us) FROM tele"),
+    ("transfer_measured_bytes_total", "counter", "Bytes of measured transfers.", "SELECT sum(bytes) FROM tele"),
+    ("transfer_measured_layers_total", "counter", "Layers of measured transfers.", "SELECT sum(n_layers) FROM tele WHERE NOT failed"),
+    ("transfer_measured_first_layer_us_sum", "counter", "Measured time to the first layer.", "SELECT sum(first_us) FROM tele"),
+    ("transfer_measured_full_us_sum", "counter", "Measured time of whole transfers.", "SELECT sum(full_us) FROM tele"),
+    ("transfer_measured_overlap_us_sum", "counter", "Measured time that can overlap.", "SELECT sum(overlap_us) FROM tele"),
+    ("recompute_blocks_total", "counter", "Blocks computed anew.", "SELECT sum(recomputes) FROM d"),
+    ("reusable_blocks_total", "counter", "Blocks found for reuse.", "SELECT sum(local_hits + transfers) FROM d"),
+    ("slo_served_total", "counter", "Responses measured.", "SELECT count(*) FROM d"),
+    ("slo_met_total", "counter", "Responses inside their budget.", "SELECT count(*) FROM d WHERE ttft_us <= 1000 * (2 + ord)"),
+    ("slo_ttft_ms_sum", "counter", "Time to first tokens.", "SELECT sum(ttft_us // 1000) FROM d"),
+    ("resident_blocks", "gauge", "Blocks resident now.", "SELECT count(*) FROM residency"),
+)
+FETCH_SQL = "SELECT request_id, CAST(coalesce(sum(cost_us) FILTER (WHERE action = 'fetch'), 0) AS BIGINT) AS total_us, coalesce(min(cost_us) FILTER (WHERE action = 'fetch'), 0) AS first_us FROM actions GROUP BY request_id"
+
+
+@query("prometheus_rows", plan_sql(
+    "SELECT unnest([concat('# HELP cache_', name, ' ', help), concat('# TYPE cache_', name, ' ', kind), concat('cache_', name, ' ', CAST(CAST(coalesce(value, 0) AS BIGINT) AS VARCHAR))]) AS line FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS name, '{k}' AS kind, '{h}' AS help, ({q}) AS value" for n, k, h, q in METRICS) + ") t",
+    "layer_transfers", **(ACTION_VIEWS | {"f": FETCH_SQL, "tele": TELEMETRY_SQL})))
 def prometheus_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Counters as exposition lines, one row a metric."""
-    s = traces(spark, sf).agg(F.count("*").alias("n"), F.sum("local_hits").alias("l"), F.sum("transfers").alias("t"), F.sum("recomputes").alias("r"))
-    s = s.join(S.residency(spark, sf).agg(F.count("*").alias("blocks")))
-    rows = s.selectExpr("stack(5, 'requests_total', n, 'local_hits_total', l, 'transfers_total', t, 'recomputes_total', r, 'resident_blocks', blocks) as (name, value)")
-    return rows.select(F.format_string("cache_%s %d", "name", "value").alias("line"))
+    """Metrics as exposition lines: three a metric."""
+    requests, workers = S.requests(spark, sf), S.workers(spark, sf)
+    choices = block_choices(S.request_blocks(spark, sf), S.residency(spark, sf), workers)
+    d = decide(plans(choices, requests), "greedy")
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    routed = d.agg(
+        F.count("*").alias("requests_total"), some("local_hits").alias("local_hits_total"), some("transfers").alias("transfer_blocks_total"), F.count_if(F.col("transfers") > 0).alias("transfer_requests_total"),
+        some("recomputes").alias("recompute_blocks_total"), some(F.col("local_hits") + F.col("transfers")).alias("reusable_blocks_total"), F.count("*").alias("slo_served_total"),
+        F.count_if(F.col("ttft_us") <= 1000 * (2 + F.col("ord"))).alias("slo_met_total"), some(F.floor(F.col("ttft_us") / 1000)).alias("slo_ttft_ms_sum"),
+    )
+    fetched = choices.join(d.select("request_id", "worker_id"), ["request_id", "worker_id"]).where("kind = 'transfer'").groupBy("request_id").agg(F.sum("cost_us").alias("total"), F.min("cost_us").alias("first"))
+    fetched = fetched.agg(some("total").alias("transfer_estimated_us_sum"), some("first").alias("transfer_first_estimated_us_sum"))
+    told = transfer_telemetry(S.layer_transfers(spark, sf)).agg(
+        F.count_if(~F.col("failed")).alias("transfer_measured_events_total"), F.count("first_us").alias("transfer_measured_first_layer_events_total"), some("bytes").alias("transfer_measured_bytes_total"),
+        some(F.when(~F.col("failed"), F.col("n_layers"))).alias("transfer_measured_layers_total"), some("first_us").alias("transfer_measured_first_layer_us_sum"), some("full_us").alias("transfer_measured_full_us_sum"), some("overlap_us").alias("transfer_measured_overlap_us_sum"),
+    )
+    row = routed.join(fetched).join(told).join(S.residency(spark, sf).agg(F.count("*").alias("resident_blocks")))  # one row each
+    lines = [F.array(F.lit(f"# HELP cache_{n} {h}"), F.lit(f"# TYPE cache_{n} {k}"), F.concat(F.lit(f"cache_{n} "), F.col(n).cast("string"))) for n, k, h, _ in METRICS]
+    return row.select(F.explode(F.flatten(F.array(*lines))).alias("line"))
+
+
+OBSERVED_BY_TENANT = """SELECT t.tenant_id, CASE WHEN n > 0 THEN 'measured' WHEN pn > 0 THEN 'planned' END AS told_by,
+  round(CASE WHEN n > 0 THEN CAST(f AS DOUBLE) / nf / 1000.0::DOUBLE WHEN pn > 0 THEN CAST(pf AS DOUBLE) / pn / 1000.0::DOUBLE END, 9) AS first_layer_ms, round(CASE WHEN n > 0 THEN CAST(u AS DOUBLE) / n / 1000.0::DOUBLE WHEN pn > 0 THEN CAST(pu AS DOUBLE) / pn / 1000.0::DOUBLE END, 9) AS full_ms,
+  round(CASE WHEN n > 0 THEN CAST(o AS DOUBLE) / n / 1000.0::DOUBLE WHEN pn > 0 THEN CAST(pu - pf AS DOUBLE) / pn / 1000.0::DOUBLE END, 9) AS overlap_ms, round(CASE WHEN n > 0 THEN CAST(greatest(u - o, 0) AS DOUBLE) / n / 1000.0::DOUBLE WHEN pn > 0 THEN CAST(pf AS DOUBLE) / pn / 1000.0::DOUBLE END, 9) AS exposed_ms,
+  round(CASE WHEN n > 0 THEN 100.0::DOUBLE * CAST(least(o, u) AS DOUBLE) / CAST(u AS DOUBLE) WHEN pn > 0 THEN 100.0::DOUBLE * CAST(pu - pf AS DOUBLE) / CAST(pu AS DOUBLE) END, 9) AS overlap_pct, round(CASE WHEN n > 0 THEN CAST(b AS DOUBLE) * 8.0::DOUBLE / CAST(u AS DOUBLE) END, 9) AS bandwidth_mbps
+FROM (SELECT DISTINCT tenant_id FROM requests) t
+LEFT JOIN (SELECT concat('ten', CAST(transfer_id % 2 AS VARCHAR)) AS tenant_id, count(*) AS n, count(first_us) AS nf, sum(first_us) AS f, sum(full_us) AS u, sum(overlap_us) AS o, sum(bytes) AS b FROM tele WHERE NOT failed GROUP BY 1) m ON m.tenant_id = t.tenant_id
+LEFT JOIN (SELECT q.tenant_id, count(*) AS pn, sum(total_us) AS pu, sum(first_us) AS pf FROM f JOIN requests q ON q.request_id = f.request_id WHERE total_us > 0 GROUP BY 1) p ON p.tenant_id = t.tenant_id"""
+
+
+@query("transfer_observation_by_tenant", plan_sql(OBSERVED_BY_TENANT, "layer_transfers", **(ACTION_VIEWS | {"f": FETCH_SQL, "tele": TELEMETRY_SQL})))
+def transfer_observation_by_tenant(spark: SparkSession, sf: str) -> DataFrame:
+    """What is known of each tenant's transfers: measured where anything was measured, else as planned."""
+    tele = transfer_telemetry(S.layer_transfers(spark, sf)).withColumn("tenant_id", F.concat(F.lit("ten"), (F.col("transfer_id") % 2).cast("string")))
+    requests, workers = S.requests(spark, sf), S.workers(spark, sf)
+    choices = block_choices(S.request_blocks(spark, sf), S.residency(spark, sf), workers)
+    d = decide(plans(choices, requests), "greedy").select("request_id", "worker_id")
+    fetched = choices.where("kind = 'transfer'").join(d, ["request_id", "worker_id"]).groupBy("request_id").agg(F.sum("cost_us").alias("total_us"), F.min("cost_us").alias("first_us"))
+    return observed(requests.select("tenant_id").distinct(), tele, fetched.join(requests.select("request_id", "tenant_id"), "request_id"))
+
+
+def observed(tenants: DataFrame, tele: DataFrame, planned: DataFrame) -> DataFrame:
+    """Measured transfers (``transfer_telemetry`` with a tenant) before planned ones (tenant_id, total_us, first_us: a row a request that fetches)."""
+    m = tele.where("not failed").groupBy("tenant_id").agg(F.count("*").alias("n"), F.count("first_us").alias("nf"), F.sum("first_us").alias("f"), F.sum("full_us").alias("u"), F.sum("overlap_us").alias("o"), F.sum("bytes").alias("b"))
+    p = planned.groupBy("tenant_id").agg(F.count("*").alias("pn"), F.sum("total_us").alias("pu"), F.sum("first_us").alias("pf"))
+    rows = tenants.join(m, "tenant_id", "left").join(p, "tenant_id", "left")
+    c = F.col
+
+    def either(measured: Column | None, plan: Column | None = None) -> Column:
+        value = F.when(c("n") > 0, measured)
+        return F.round(value if plan is None else value.when(c("pn") > 0, plan), 9)
+
+    ms = lambda a, n: c(a).cast("double") / c(n) / 1000.0
+    saved = c("pu") - c("pf")
+    return rows.select(
+        "tenant_id", F.when(c("n") > 0, "measured").when(c("pn") > 0, "planned").alias("told_by"), either(ms("f", "nf"), ms("pf", "pn")).alias("first_layer_ms"), either(ms("u", "n"), ms("pu", "pn")).alias("full_ms"),
+        either(ms("o", "n"), saved.cast("double") / c("pn") / 1000.0).alias("overlap_ms"), either(F.greatest(c("u") - c("o"), F.lit(0)).cast("double") / c("n") / 1000.0, ms("pf", "pn")).alias("exposed_ms"),
+        either(percent(F.least("o", "u"), c("u")), percent(saved, c("pu"))).alias("overlap_pct"), either(c("b").cast("double") * 8.0 / c("u")).alias("bandwidth_mbps"),
+    )
+
+
+@query("bench_report", """SELECT o_orderpriority AS backend, n, round(total / n / 1000.0::DOUBLE, 6) AS mean_us, max(v) FILTER (WHERE r = CAST(round((n - 1) * 0.5::DOUBLE) AS BIGINT)) / 1000.0::DOUBLE AS p50_us,
+  max(v) FILTER (WHERE r = CAST(round((n - 1) * 0.99::DOUBLE) AS BIGINT)) / 1000.0::DOUBLE AS p99_us, max(v) FILTER (WHERE r = CAST(round((n - 1) * 0.999::DOUBLE) AS BIGINT)) / 1000.0::DOUBLE AS p999_us, round(n / (total / 1000000000.0::DOUBLE), 6) AS per_sec
+FROM (SELECT o_orderpriority, v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n, CAST(sum(v) OVER (PARTITION BY o_orderpriority) AS DOUBLE) AS total FROM (SELECT o_orderpriority, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders) a) t GROUP BY 1, 2, total, n""")
+def bench_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report row of each backend from its samples in nanoseconds: mean, percentiles and rate."""
+    samples = S.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("backend"), F.floor("o_totalprice").cast("long").alias("v"))
+    places = percentile_rows(samples, "backend", "v", PLACES["a"][0], SHARES).groupBy("backend").agg(*(F.max(F.when(F.col("p") == p, F.col("value") / 1000.0)).alias(n) for p, n in zip(SHARES, ("p50_us", "p99_us", "p999_us"), strict=True)))
+    whole = samples.groupBy("backend").agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("total"))
+    rate = F.round(F.col("n") / (F.col("total") / 1e9), 6)
+    return whole.join(places, "backend").select("backend", "n", F.round(F.col("total") / F.col("n") / 1000.0, 6).alias("mean_us"), "p50_us", "p99_us", "p999_us", rate.alias("per_sec"))
 
 
 @query("state_json", S.sql("""SELECT worker_id, CAST(to_json(struct_pack(worker := worker_id, role := role, blocks := n, bytes := b)) AS VARCHAR) AS state FROM (

@@ -237,9 +237,9 @@ def test_every_document_asks(spark, sf):
 def test_sketch_of_the_store_ages_as_slowly(spark):
     # 2,000 additions: 16,384 an epoch keep all of them, 1,024 halve the first ones.
     adds = spark.range(2000).selectExpr("concat('k', id % 20) as key", "id as seq")
-    assert {r["count"] for r in prefix.sketch(adds, prefix.STORE_WIDTH).collect()} == {100}
-    assert min(r["count"] for r in prefix.sketch(adds).collect()) < 100
-    assert prefix.STORE_WIDTH * prefix.DEPTH == 16384
+    assert {r["count"] for r in prefix.sketch(adds).collect()} == {100}
+    assert min(r["count"] for r in prefix.sketch(adds, 256).collect()) < 100
+    assert prefix.WIDTH * prefix.DEPTH == 16384
 
 
 def test_sketch_halves_over_empty_epochs(spark):
@@ -289,3 +289,86 @@ def test_text_blocks_read_long_texts_whole(spark):
     assert got[1, 78].block_hash == hashlib.md5(text.encode()).hexdigest() and got[1, 78].prefix_hash == got[1, 77].block_hash
     for r in blocks.text_blocks(texts, ["k"], "text").collect():
         assert got[r.k, r.pos] == r
+
+
+LOG = "seq long, op string, " + RESIDENT.replace(", put_seq long", "")
+
+
+def test_the_last_store_s_bytes_count(spark):
+    log = [(i, "block_stored", "w", "t", None, "root", "b0", 0, 64, "hbm", size) for i, size in enumerate([7, 100, 40])]
+    assert [(r.put_seq, r.bytes) for r in index.fold_events(spark.createDataFrame(log, LOG)).collect()] == [(2, 40)]
+
+
+def test_event_batches(spark):
+    engines = spark.createDataFrame([("e", "m", "k", "t0")], "engine_id string, default_model string, default_tokenizer string, default_tenant string")
+    bodies = [
+        (0, '{"engine_id":"e","ts_ms":9,"events":[{"type":"block_stored","block_hashes":["h0","h1"],"block_size":3,"medium":"gpu","lora_name":"l"},{"type":"all_blocks_cleared"}]}'),
+        (1, '{"engine_id":"e","tenant_id":"t1","adapter_id":"a","bytes_per_block":5,"events":[{"type":"block_stored","block_hashes":["h2"],"parent_block_hash":"h1","block_size":3,"medium":"tape","lora_name":"l"},{"type":"block_stored","block_hashes":["h3"],"block_size":1,"bytes_per_block":6},{"type":"block_removed","block_hashes":["h0"]},{"type":"other"}]}'),
+        (2, '{"engine_id":"nobody","events":[{"type":"all_blocks_cleared"}]}'), (3, "no json"), (4, '{"engine_id":"e","events":[]}'), (5, None),
+    ]
+    rows = index.event_rows(spark.createDataFrame(bodies, "batch_no long, body string"), engines).orderBy("batch_no", "event_no", "block_index").collect()
+    told = [(r.batch_no, r.event_no, r.op, r.tenant_id, r.adapter_id, r.prefix_hash, r.block_hash, r.block_index, r.token_count, r.tier, r.bytes, r.ts_ms) for r in rows]
+    assert told == [
+        (0, 0, "block_stored", "t0", "l", "root", "h0", 0, 3, "hbm", 4 << 20, 9), (0, 0, "block_stored", "t0", "l", "h0", "h1", 1, 3, "hbm", 4 << 20, 9), (0, 1, "all_blocks_cleared", "t0", None, None, None, None, None, None, None, 9),
+        (1, 0, "block_stored", "t1", "a", "h1", "h2", 0, 3, "hbm", 5, 0), (1, 1, "block_stored", "t1", "a", "root", "h3", 0, 1, "hbm", 6, 0), (1, 2, "block_removed", "t1", "a", None, "h0", None, None, None, None, 0),
+    ]
+
+
+def test_eviction_takes_the_oldest_of_all_segments(spark):
+    rows = [(f"k{i}", f"s{i % 2}", 10, i == 0, i == 3, 70 * i, 2000 * (i == 4)) for i in range(8)]
+    objects = spark.createDataFrame(rows, "object_key string, segment_name string, size long, soft_pinned boolean, hard_pinned boolean, last_access long, lease_until long")
+    seg = spark.createDataFrame([("s0", 60, 40), ("s1", 40, 40)], "segment_name string, capacity long, allocated long")
+    free = lambda n: F.col("capacity") - (F.col("allocated") - F.col("freed")) >= n
+    assert [sorted(r.object_key for r in store.evicted(objects, seg, free(n)).collect()) for n in (20, 45, 1000)] == [[], ["k1", "k2", "k5"], ["k0", "k1", "k2", "k5", "k6", "k7"]]
+
+
+def test_segments_belong_to_who_mounted_them_last(spark):
+    log = [("a", "c0", "heartbeat"), ("a", "c0", "mount"), ("a", "c1", "unmount"), ("a", "c1", "remount"), ("a", "c0", "unmount"), ("a", "c0", "heartbeat"), ("a", "c1", "heartbeat"), ("b", "c0", "mount"), ("b", "c0", "unmount"), ("b", "c0", "unmount"), ("b", "c0", "heartbeat"), ("c", "c0", "unmount")]
+    rows = store.lifecycles(spark.createDataFrame([(i, *r) for i, r in enumerate(log)], "seq long, segment_name string, client_id string, op string")).collect()
+    assert sorted(map(tuple, rows)) == [("a", "c1", 6, 0, 2), ("b", None, None, 1, 1), ("c", None, None, 0, 1)]
+
+
+def test_replicas_that_may_be_read(spark):
+    replicas = spark.createDataFrame([(1, 1, "memory", "up", True), (1, 2, "memory", "down", True), (1, 3, "disk", None, True), (2, 4, "memory", "down", True), (2, 5, "disk", None, False), (3, 6, "memory", "gone", True)], "object_no long, replica_id long, kind string, segment_name string, complete boolean")
+    seg = spark.createDataFrame([("up", store.NOW - store.TTL), ("down", store.NOW - store.TTL - 1)], "segment_name string, last_beat long")
+    asked = spark.createDataFrame([(i, t) for i in (1, 2, 3, 4) for t in ("t", "u")], "object_no long, asked_by string")
+    got = {(r.object_no, r.asked_by): (r.outcome, r.readable) for r in store.read_replicas(asked, replicas, seg, F.lit("t")).collect()}
+    assert got == {(1, "t"): ("ok", "1,3"), (1, "u"): ("unsafe_reuse", None), (2, "t"): ("not_ready", None), (2, "u"): ("unsafe_reuse", None), (3, "t"): ("not_ready", None), (3, "u"): ("unsafe_reuse", None), (4, "t"): ("not_found", None), (4, "u"): ("not_found", None)}
+
+
+def test_measured_transfers_come_before_planned_ones(spark):
+    tele = spark.createDataFrame([("a", False, 1000, 4000, 3000, 1000), ("a", True, None, None, None, None), ("b", True, None, None, None, None)], "tenant_id string, failed boolean, first_us long, full_us long, overlap_us long, bytes long")
+    planned = spark.createDataFrame([("a", 9, 9), ("b", 1200, 300)], "tenant_id string, total_us long, first_us long")
+    rows = telemetry.observed(spark.createDataFrame([("a",), ("b",), ("c",)], "tenant_id string"), tele, planned).orderBy("tenant_id").collect()
+    assert list(map(tuple, rows)) == [("a", "measured", 1.0, 4.0, 3.0, 1.0, 75.0, 2.0), ("b", "planned", 0.3, 1.2, 0.9, 0.3, 75.0, None), ("c", None, None, None, None, None, None, None)]
+
+
+def test_violation_pairs_are_counted_without_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, f"h{rng.randrange(6)}", rng.choice("mn"), rng.choice("kl"), rng.choice(["a", None]), rng.choice("tu")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, block_hash string, model_id string, tokenizer_id string, adapter_id string, tenant_id string")
+    monkeypatch.setattr(identity.S, "docs", lambda spark, sf: docs)
+    want: dict = {}
+    for x in rows:
+        for y in rows:
+            if x[0] != y[0] and x[1] == y[1]:
+                kind = next((k for k, a, b in zip(("cross_model", "cross_tokenizer", "cross_adapter", "cross_tenant"), x[2:], y[2:], strict=True) if a != b), "match")
+                want[kind] = want.get(kind, 0) + 1
+    assert {r.violation: r.n_pairs for r in identity.reuse_violation_pairs(spark, "").collect()} == want
+
+
+def test_epochs_replay_one_after_the_other(spark, sf):
+    """Each epoch by itself, against a table that the decisions before it were put into by hand."""
+    held = index.fold_events(S.kv_events(spark, sf)).toPandas()
+    blocks, requests, workers = S.request_blocks(spark, sf), S.requests(spark, sf), S.workers(spark, sf)
+    want = {}
+    for e in range(3):
+        now = F.col("request_no") % 3 == e
+        resident = spark.createDataFrame(list(held.astype(object).where(held.notna(), None).itertuples(index=False, name=None)), RESIDENT)
+        rows = planner.decide(planner.plans(planner.block_choices(blocks.where(now), resident, workers), requests.where(now)), "greedy").collect()
+        chosen = {r.request_id: r for r in rows}
+        want |= {i: (r.worker_id, r.local_hits, r.transfers, r.recomputes, e) for i, r in chosen.items()}
+        puts = [{"worker_id": chosen[b.request_id].worker_id, "tenant_id": b.tenant_id, "adapter_id": b.adapter_id, "prefix_hash": b.prefix_hash, "block_hash": b.block_hash, "block_index": b.pos, "token_count": b.token_count, "tier": "hbm", "put_seq": 10**12 + b.request_no + 1, "bytes": 4194304} for b in blocks.where(now).collect()]
+        held = pd.concat([held, pd.DataFrame(puts)]).sort_values("put_seq").drop_duplicates(["worker_id", "tenant_id", "adapter_id", "prefix_hash", "block_hash", "block_index", "token_count", "tier"], keep="last")[held.columns]
+    got = {r.request_id: (r.worker_id, r.local_hits, r.transfers, r.recomputes, r.epoch) for r in planner.route_in_epochs(spark, sf).collect()}
+    assert got == want
