@@ -13,8 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachefold.operators.index import KEY, fold_events
-from cachefold.plans.registry import query
+from cachefold.operators.index import KEY, _wire_sql, engine_defaults, event_rows, fold_events, wire_batches
+from cachefold.operators.prefix import INTERVAL, decayed
+from cachefold.plans.registry import ORACLES, query
 from cachefold.sources import tables as S
 
 _local: dict[str, str] = {}
@@ -74,3 +75,27 @@ def stream_event_rollup(spark: SparkSession, sf: str) -> DataFrame:
     # The last batch that told of a row has its value.
     last = spark.read.parquet(out).groupBy("hour", "event_type").agg(F.max(F.struct("batch", "n", "total")).alias("x"))
     return last.select("hour", "event_type", "x.n", F.round("x.total", 6).alias("total"))
+
+
+@query("stream_kv_event_rows", _wire_sql(typed=True))
+def stream_kv_event_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON batches that arrive as lines of text, parsed as they come; a batch has its number in front."""
+    lines, out, checkpoint = (shared_folder(spark, label) for label in ("lines", "event-rows", "event-rows-state"))
+    wire_batches(S.table(spark, sf, "events"), typed=True).select(F.concat_ws("\t", F.col("batch_no").cast("string"), "body")).write.text(lines)
+    parts = F.split("value", "\t", 2)
+    bodies = spark.readStream.option("maxFilesPerTrigger", 4).text(lines).select(parts[0].cast("long").alias("batch_no"), parts[1].alias("body"))
+    rows = event_rows(bodies, engine_defaults(S.workers(spark, sf)))
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@query("stream_hotness", ORACLES["hotness_decay"])
+def stream_hotness(spark: SparkSession, sf: str) -> DataFrame:
+    """``hotness_decay`` kept up to date: the stream counts accesses by interval, and reading folds the intervals."""
+    out, checkpoint = shared_folder(spark, "hotness"), shared_folder(spark, "hotness-state")
+    events = S.kv_events_of(read_stream(spark, sf, "events"))
+    stored = F.col("op") == "block_stored"
+    counts = events.groupBy(F.when(stored, F.col("block_hash")).alias("block_hash"), F.floor(F.col("seq") / INTERVAL).alias("i")).agg(F.count("*").alias("n"))
+    run_updates(counts, out, checkpoint)
+    now = spark.read.parquet(out).groupBy("block_hash", "i").agg(F.max(F.struct("batch", "n")).alias("x")).select("block_hash", "i", "x.n")
+    return decayed(now.where("block_hash is not null"), now.agg(F.max("i").alias("last")))
