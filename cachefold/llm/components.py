@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and an equi-join, so a node with very many links is pre-aggregated before the shuffle
-and its join partition can be split. Links never leave the executors.
+Every step is a grouped minimum and an equi-join: a node with very many links is pre-aggregated before the shuffle, and
+its links are dealt over many tasks for the join. Links never leave the executors.
 """
 
 from __future__ import annotations
@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_keys, join_spread, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Each neighbour larger than ``u`` is linked to the smallest of ``u`` and its neighbours."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    up = materialize(both.where("v > u"), "upward")
+    return join_spread(up, least, "u", hot_keys(up, "u"), ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
