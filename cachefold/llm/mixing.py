@@ -192,23 +192,25 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     added, so a class that holds many rows is not gathered. Which of several rows that are equal in id, source and text
     gets the copy follows the layout of the files.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_sized(docs))
-    plan = class_copies(rows.select(*CLASS)).withColumns({"fixed": F.col("each"), "some": (F.col("more") > 0) & (F.col("more") < F.col("n"))})
+    key = ["source", "doc_id", "text_hash"]  # equal texts have equal sizes
+    sized = docs.select(*_sized(docs))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c for c, name in zip(_sized(docs), sized.columns, strict=True) if name in key))
+    plan = class_copies(sized).withColumns({"fixed": F.col("each"), "some": (F.col("more") > 0) & (F.col("more") < F.col("n"))})
     plan = plan.withColumn("fixed", F.col("each") + F.when(F.col("more") == F.col("n"), 1).otherwise(0)).where("fixed > 0 or some")
-    plan = materialize(plan.select(*(F.col(c).alias(f"c_{c}") for c in CLASS), "fixed", "some", "more"), "copies")
+    plan = materialize(plan.dropDuplicates(key).select(*(F.col(c).alias(f"c_{c}") for c in key), "fixed", "some", "more"), "copies")
     on = F.lit(True)
-    for c in CLASS:
+    for c in key:
         on = on & F.col(c).eqNullSafe(F.col(f"c_{c}"))
     # The fixed rows have one copy number a class; only the others are numbered.
     taken = rows.join(plan.where("not some"), on).select("row", F.col("fixed").alias("copies"))
     uneven = plan.where("some")
     if not uneven.isEmpty():
-        part = materialize(rows.join(uneven, on).select("row", *CLASS, "fixed", "more", F.spark_partition_id().alias("task")), "uneven")
-        tasks = part.groupBy(*CLASS, "task").agg(F.count("*").alias("here"))
-        before = F.coalesce(F.sum("here").over(Window.partitionBy(*CLASS).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        tasks = tasks.select(*CLASS, "task", before.alias("before"))
-        number = F.row_number().over(Window.partitionBy(*CLASS, "task").orderBy(F.lit(0))) - 1
+        part = materialize(rows.join(uneven, on).select("row", *key, "fixed", "more", F.spark_partition_id().alias("task")), "uneven")
+        tasks = part.groupBy(*key, "task").agg(F.count("*").alias("here"))
+        before = F.coalesce(F.sum("here").over(Window.partitionBy(*key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        tasks = tasks.select(*key, "task", before.alias("before"))
+        number = F.row_number().over(Window.partitionBy(*key, "task").orderBy(F.lit(0))) - 1
         part = part.withColumn("number", number)
-        part = part.join(tasks, same(part, tasks, [*CLASS, "task"])).select("row", F.col("fixed") + F.when(F.col("before") + F.col("number") < F.col("more"), 1).otherwise(0))
+        part = part.join(tasks, same(part, tasks, [*key, "task"])).select("row", F.col("fixed") + F.when(F.col("before") + F.col("number") < F.col("more"), 1).otherwise(0))
         taken = taken.union(part)
     return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
