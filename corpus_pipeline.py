@@ -40,14 +40,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of that id that are equal in all columns are kept once, others stay; rows without an id have no group and stay.
     """
-    kept = materialize(near_duplicates(docs, k=SHINGLE).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*columns(docs))
+    found = materialize(near_duplicates(docs, k=SHINGLE).where("doc_id is not null").select("doc_id", "kept"), "found")
+    # The ids that go are fewer than those that stay; rows without an id meet none of them.
+    rest = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*columns(docs))
+    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return rest
     # Ids that are repeated: rows are told apart by a digest of all their columns.
-    whole = F.struct(*columns(docs))
-    rows = docs.select("doc_id", whole.alias("row")).join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+    rows = rest.select("doc_id", F.struct(*columns(rest)).alias("row")).join(repeated, "doc_id", "left_semi")
     digest = F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256)
     rows = rows.withColumn("digest", digest).groupBy("doc_id", "digest").agg(F.any_value("row").alias("row")).select("row.*")
-    return once.unionByName(rows).unionByName(docs.where("doc_id is null"))
+    return rest.join(repeated, "doc_id", "left_anti").select(*columns(docs)).unionByName(rows)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
