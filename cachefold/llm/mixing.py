@@ -202,7 +202,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     for c in key:
         on = on & F.col(c).eqNullSafe(F.col(f"c_{c}"))
     # The fixed rows have one copy number a class; only the others are numbered.
-    taken = rows.join(plan.where("not some"), on).select("row", F.col("fixed").alias("copies"))
+    # Texts are dealt by key at any size, as the list of copies grows with them.
+    taken = rows.join(plan.where("not some").hint("merge"), on).select("row", F.col("fixed").alias("copies"))
     uneven = plan.where("some")
     if not uneven.isEmpty():
         part = materialize(rows.join(uneven, on).select("row", *key, "fixed", "more", F.spark_partition_id().alias("task")), "uneven")

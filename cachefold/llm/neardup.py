@@ -150,7 +150,8 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(items, pa.binary()), pa.array(sigs, pa.binary())], ["rep", "n", "items", "sig"])
                     items, sigs, begin, size = [], [], i + 1, 0
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep")
+    # Texts are dealt by id at any size, as the list of ids grows with them.
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids.hint("merge"), "rep")
     found = texts.select("rep", "text", "n").mapInArrow(run, "rep long, n long, items binary, sig binary")
     # A doc_id may be repeated with another text: each of its sets is kept, once.
     return found.where(F.length("items") == F.col("n") * 8).dropDuplicates(["rep", "items"])
