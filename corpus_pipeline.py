@@ -41,8 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of that id that are equal in all columns are kept once, others stay; rows without an id have no group and stay.
     """
     found = materialize(near_duplicates(docs, k=SHINGLE).where("doc_id is not null").select("doc_id", "kept"), "found")
-    # The ids that go are fewer than those that stay; rows without an id meet none of them.
-    rest = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*columns(docs))
+    # The ids that go are fewer than those that stay; rows without an id meet none of them. Texts are dealt by id at any size.
+    rest = docs.join(found.where("not kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*columns(docs))
     repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return rest
