@@ -5,8 +5,9 @@ hash of its position, role and text; the exclusive or of the first k of them is
 Conversations whose whole hash is a proper prefix of another one are removed by an anti-join, equal ones keep the
 smallest conv_id, and what stays is rendered.
 
-Turns are numbered in two levels, inside runs of ``RUN`` turn numbers and over the runs, and rendered ``PART`` turns a
-row, so no step gathers a whole conversation; prefixes and heads are made distinct before they are shuffled.
+All turns are dealt into ranges of (conv_id, turn, role, text) of about one size, so a conversation that holds many of
+them spans many ranges. Turns are numbered in two levels, inside ranges and over them, and rendered ``PART`` turns a row,
+so no step gathers a whole conversation; prefixes and heads are made distinct before they are shuffled.
 
 Defined cases: rows equal in conv_id, turn, role and text count once. Order: turn (null last), then role, then text
 (nulls first). A null role renders as "user", a null text as nothing; nulls differ from empty values when conversations
@@ -19,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
-RUN = 64
 PART = 64
+BEGIN = 64  # characters of a text that tell its range, as the bounds are drawn on the driver
 
 
 def _order() -> list[Column]:
@@ -32,7 +33,9 @@ def _order() -> list[Column]:
 def numbered_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, run, turn, role, text, pos, n): positions from 1 and the number of turns."""
     rows = conversations.select("conv_id", "turn", "role", "text").distinct()
-    rows = rows.withColumn("run", F.coalesce(F.floor(F.col("turn") / RUN), F.lit((1 << 62))))
+    begin = [F.left(c, F.lit(BEGIN)).asc_nulls_first() for c in ("role", "text")]
+    rows = rows.repartitionByRange(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), *begin)
+    rows = materialize(rows.withColumn("run", F.spark_partition_id()), "ranges")  # range bounds are drawn anew by each run of the plan
     sizes = rows.groupBy("conv_id", "run").agg(F.count("*").alias("m"))
     runs = Window.partitionBy("conv_id").orderBy("run")
     before = F.coalesce(F.sum("m").over(runs.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -67,7 +70,8 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
 
     ``part`` counts rows of ``PART`` turns each from 0; ``copies`` is how many equal conversations were logged.
     """
-    turns = materialize(numbered_turns(conversations), "turns")
+    with scratch(conversations.sparkSession):
+        turns = materialize(numbered_turns(conversations), "turns", keep=True)
     hashes = materialize(prefix_hashes(turns), "prefixes")
     proper = hashes.where("pos < n").select("pos", "a", "b").distinct()
     heads = hashes.where("pos = n").groupBy("n", "a", "b").agg(F.min("conv_id").alias("keep"), F.count("*").alias("copies"))
