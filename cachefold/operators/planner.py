@@ -27,9 +27,7 @@ def candidates(workers: DataFrame) -> DataFrame:
     able = F.col("role").isin(*CAN_DECODE)
     any_able = workers.agg(F.coalesce(F.bool_or(able), F.lit(False)).alias("any_able"))
     rows = workers.join(any_able).where(able | ~F.col("any_able")).drop("any_able")
-    others = rows.select(F.col("ord").alias("o"))
-    place = rows.join(others, F.col("o") <= F.col("ord")).groupBy("ord").agg((F.count("*") - 1).alias("slot"))
-    return rows.join(place, "ord").join(rows.agg(F.count("*").alias("fleet")))
+    return with_position(rows, "ord", "slot").join(rows.agg(F.count("*").alias("fleet")))
 
 
 def block_sources(blocks: DataFrame, resident: DataFrame, workers: DataFrame) -> DataFrame:

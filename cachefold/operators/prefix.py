@@ -93,44 +93,85 @@ def hotness_decay(spark: SparkSession, sf: str) -> DataFrame:
     return decayed(events.where("op = 'block_stored'").groupBy("block_hash", F.floor(F.col("seq") / INTERVAL).alias("i")).agg(F.count("*").alias("n")), last)
 
 
-def decayed(counts: DataFrame, last: DataFrame) -> DataFrame:
-    """(block_hash, hotness) of the counts n of intervals i up to the ``last``.
+RUN = 4096  # periods that are folded in one list; a run of 62 or more halves any count down to 0 or 1
+NEVER = 1 << 61  # more than any count
+
+
+def _state(i: Column, n: Column) -> Column:
+    """``i``: the period not yet reached, ``n``: the count at its begin."""
+    return F.struct(i.cast("long").alias("i"), n.cast("long").alias("n"))
+
+
+def _next(most: int):  # noqa: ANN202
+    """Go on over a period (i, n): empty ones before it are halved over in one step, counts stop at ``most``."""
+    return lambda acc, e: _state(e["i"] + 1, halved(F.least(halved(acc["n"], e["i"] - acc["i"]) + e["n"], F.lit(most)), F.lit(1)))
+
+
+def _doubled(need: Column, times: Column) -> Column:
+    """The least count that is ``need`` or more after so many halvings."""
+    fits = need <= halved(F.lit(NEVER), times)
+    return F.when(fits, F.call_function("shiftleft", need, F.least(times, F.lit(61)).cast("int"))).otherwise(F.lit(NEVER))
+
 
-    A key's intervals are folded in order; as accesses come between two halvings, old ones can decide a rounding however
-    long ago they were. Empty intervals are halved over in one step.
+def _back(most: int):  # noqa: ANN202
+    """From the count needed behind a period (i, n) to the one needed at its begin."""
+
+    def step(acc: Column, e: Column) -> Column:
+        inside = _doubled(acc["n"], acc["i"] - e["i"])
+        return _state(e["i"], F.when(inside > most, F.lit(NEVER)).otherwise(F.greatest(inside - e["n"], F.lit(0))))
+
+    return step
+
+
+def in_last_run(counts: DataFrame, keys: list[str], last: DataFrame, most: int = NEVER - 1) -> DataFrame:
+    """(keys, last, m, start): the periods (i, n) of each key in the run of the ``last`` period, and the state at the run's begin.
+
+    counts: (keys, i, n), a row a key and period with additions. A count is halved (rounding down) at the end of each
+    period and stops at ``most``. As additions come between two halvings, old ones can decide a rounding however long ago
+    they were, so all periods are folded in order, in runs that are folded each by itself: a run leaves ``low``, or one
+    more if at least ``need`` enters it. So no list is longer than a run, or than the number of runs.
     """
-    rows = counts.groupBy("block_hash").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("m")).join(F.broadcast(last))
-    start = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("n"))  # i: the interval not yet reached
+    runs = counts.groupBy(*keys, F.floor(F.col("i") / RUN).alias("run")).agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("m")).join(F.broadcast(last))
+    begin, end, last_run = F.col("run") * RUN, (F.col("run") + 1) * RUN, F.floor(F.col("last") / RUN)
+    done = F.col("run") < last_run
+    low = F.aggregate("m", _state(begin, F.lit(0)), _next(most), lambda acc: halved(acc["n"], end - acc["i"]))
+    need = F.aggregate(F.reverse("m"), _state(end, F.col("low") + 1), _back(most), lambda acc: _doubled(acc["n"], acc["i"] - begin))
+    runs = runs.withColumn("low", F.when(done, low)).withColumn("need", F.when(done, need))
+    out = runs.groupBy(*keys, "last").agg(
+        F.array_sort(F.collect_list(F.when(done, F.struct("run", "low", "need")))).alias("before"), F.any_value(F.when(~done, F.col("m")), F.lit(True)).alias("m")
+    )
+    # A run without additions leaves 0.
+    enters = lambda acc, run: F.when(acc["i"] == run, acc["n"]).otherwise(0)
+    over = lambda acc, e: _state(e["run"] + 1, e["low"] + F.when(enters(acc, e["run"]) >= e["need"], 1).otherwise(0))
+    start = F.aggregate("before", _state(F.lit(0), F.lit(0)), over, lambda acc: _state(last_run * RUN, enters(acc, last_run)))
+    return out.select(*keys, "last", F.coalesce("m", F.array().cast("array<struct<i:bigint,n:bigint>>")).alias("m"), start.alias("start"))
 
-    def add(acc: Column, e: Column) -> Column:
-        return F.struct((e["i"] + 1).alias("i"), halved(halved(acc["n"], e["i"] - acc["i"]) + e["n"], F.lit(1)).alias("n"))
 
-    hotness = F.aggregate("m", start, add, lambda acc: halved(acc["n"], F.col("last") + 1 - acc["i"]))
-    return rows.select("block_hash", hotness.alias("hotness")).where("hotness > 0")
+def decayed(counts: DataFrame, last: DataFrame) -> DataFrame:
+    """(block_hash, hotness) of the counts n of intervals i up to the ``last``."""
+    hotness = F.aggregate("m", F.col("start"), _next(NEVER - 1), lambda acc: halved(acc["n"], F.col("last") + 1 - acc["i"]))
+    return in_last_run(counts, ["block_hash"], last).select("block_hash", hotness.alias("hotness")).where("hotness > 0")
 
 
-#: The size of the store's sketch.
-WIDTH, DEPTH = 4096, 4
+#: The size of the store's sketch, and the largest count of a cell.
+WIDTH, DEPTH, MOST = 4096, 4, 255
 
 
 def sketch(adds: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
     """(row, cell, count) of a saturating 8-bit count-min sketch that halves after every width * depth additions.
 
-    adds: (key, seq) with seq the number of additions before. Cells are pre-counted by epoch; only the short list of a
-    cell's epochs is folded in order, and the running epoch is not halved.
+    adds: (key, seq) with seq the number of additions before. Cells are pre-counted by epoch and folded in runs of epochs;
+    the running epoch is not halved.
     """
     epoch = width * depth
-    counted = adds.groupBy("key", F.floor(F.col("seq") / epoch).alias("epoch")).agg(F.count("*").alias("n"))
+    counted = adds.groupBy("key", F.floor(F.col("seq") / epoch).alias("i")).agg(F.count("*").alias("n"))
     cells = counted.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))).withColumn("cell", cell_of(F.col("key"), F.col("row"), width))
-    cells = cells.groupBy("row", "cell", "epoch").agg(F.sum("n").alias("n"))
+    cells = cells.groupBy("row", "cell", "i").agg(F.sum("n").alias("n"))
     last = adds.agg(F.floor((F.max("seq") + 1) / epoch).alias("last"))  # epochs before it are complete
-    by_cell = cells.groupBy("row", "cell").agg(F.array_sort(F.collect_list(F.struct("epoch", "n"))).alias("m")).join(last)
-    start = F.struct(F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("n"))
-
-    def add(acc: Column, e: Column) -> Column:
-        return F.struct(e["epoch"].alias("epoch"), F.least(F.lit(255).cast("long"), halved(acc["n"], e["epoch"] - acc["epoch"]) + e["n"]).alias("n"))
-
-    count = F.aggregate("m", start, add, lambda acc: halved(acc["n"], F.col("last") - acc["epoch"]))
+    by_cell = in_last_run(cells, ["row", "cell"], last, MOST)
+    # Here ``i`` is the epoch that ``n`` was counted in.
+    add = lambda acc, e: _state(e["i"], F.least(halved(acc["n"], e["i"] - acc["i"]) + e["n"], F.lit(MOST)))
+    count = F.aggregate("m", F.col("start"), add, lambda acc: halved(acc["n"], F.col("last") - acc["i"]))
     return by_cell.select("row", "cell", count.alias("count"))
 
 

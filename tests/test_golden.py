@@ -254,6 +254,28 @@ def test_sketch_halves_over_empty_epochs(spark):
     assert {r.cell: r["count"] for r in prefix.sketch(adds, 8, 1).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_of_periods_fold_like_a_plain_loop(spark, monkeypatch, seed):
+    monkeypatch.setattr(prefix, "RUN", 64)
+    draw, last = random.Random(seed), 400
+    shares = {"steady": 1.0, "often": 0.9, "rare": 0.02, "early": 1.0, "late": 1.0}
+    allowed = {"early": range(70), "late": range(380, last + 1)}
+    size = lambda k, i: (2 if i == 3 else 1) if k == "steady" else draw.choice((1, 1, 1, 2, 600))
+    rows = [(k, i, size(k, i)) for k, share in shares.items() for i in allowed.get(k, range(last + 1)) if draw.random() < share]
+    counts, at = spark.createDataFrame(rows, "block_hash string, i long, n long"), spark.range(1).select(F.lit(last).cast("long").alias("last"))
+
+    def plain(key: str, most: int, to: int) -> int:
+        c = 0
+        for i in range(to):
+            c = min(most, c + sum(n for k, p, n in rows if k == key and p == i)) // 2
+        return c
+
+    want = {k: plain(k, 1 << 60, last + 1) for k in shares}
+    assert want["steady"] == 1 and {r.block_hash: r.hotness for r in prefix.decayed(counts, at).collect()} == {k: c for k, c in want.items() if c}
+    held = {r.block_hash: (r.start.i, r.start.n) for r in prefix.in_last_run(counts, ["block_hash"], at, 255).collect()}
+    assert held == {k: (384, plain(k, 255, 384)) for k in shares}
+
+
 def test_hotness_of_a_steady_key_outlives_60_intervals(spark):
     rows = [("steady", 0, 9)] + [("steady", i, 1) for i in range(1, 100)] + [("gap", 0, 1000), ("gap", 5, 3), ("gone", 3, 100), ("new", 99, 7)]
     got = {r.block_hash: r.hotness for r in prefix.decayed(spark.createDataFrame(rows, "block_hash string, i long, n long"), spark.sql("select 99L as last")).collect()}
