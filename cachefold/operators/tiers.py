@@ -6,9 +6,6 @@ by recency, and an access is a hit, a promotion or an admission by its depth in
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +16,8 @@ from cachefold.sources import tables as S
 #: Blocks that each tier of a worker holds, from fast to slow.
 CAPACITY = {"hbm": 8, "cpu_dram": 16, "local_ssd": 32}
 STACK = sum(CAPACITY.values())
-RUN = 4096
+RUN = 1024  # positions of the log classified in one row
+FAN = 32  # runs merged at once
 
 ACCESSES = "SELECT worker_id, concat(tenant_id, '/', coalesce(adapter_id, ''), '/', block_hash) AS block, seq FROM kv_events WHERE op = 'block_stored'"
 
@@ -46,45 +44,52 @@ def lru_tier_state(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("worker_id", "block", tier_at(F.col("depth") - 1).alias("tier"))
 
 
-def _stacks(rows: pd.DataFrame) -> pd.DataFrame:
-    """The stack before each run of a worker, from the last blocks of the runs before it."""
-    stack: OrderedDict[str, None] = OrderedDict()
-    out: list[tuple[str, int, int, str]] = []
-    for run, part in rows.sort_values(["run", "depth"], ascending=[True, False]).groupby("run", sort=True):
-        out += [(part.worker_id.iloc[0], run, i, b) for i, b in enumerate(stack)]
-        for b in part.block:
-            stack.pop(b, None)
-            stack[b] = None
-        while len(stack) > STACK:
-            stack.popitem(last=False)
-    return pd.DataFrame(out, columns=["worker_id", "run", "place", "block"])
-
-
-def _classes(start: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    stack = OrderedDict.fromkeys(start.sort_values("place").block)
-    out = []
-    for worker, run, block, seq in rows.sort_values("seq")[["worker_id", "run", "block", "seq"]].itertuples(index=False):
-        depth = next((i for i, b in enumerate(reversed(stack)) if b == block), None)
-        out.append((worker, block, seq, "admit" if depth is None else "hit" if depth < CAPACITY["hbm"] else "promote"))
-        stack.pop(block, None)
-        stack[block] = None
-        if len(stack) > STACK:
-            stack.popitem(last=False)
-    return pd.DataFrame(out, columns=["worker_id", "block", "seq", "access"])
+def _latest(stacks: Column) -> Column:
+    """The first ``STACK`` distinct blocks of an array of stacks, latest first."""
+    return F.slice(F.array_distinct(F.flatten(stacks)), 1, STACK)
+
+
+def stacks_before(runs: DataFrame) -> DataFrame:
+    """(worker_id, run, stack): what a worker holds before each of its runs, latest first; runs: (worker_id, run, own).
+
+    ``own`` are the blocks that a run leaves on top. Neighbouring runs are merged ``FAN`` at a time, up to one node a
+    worker; on the way down, what comes before a node is its earlier neighbours above what comes before their group.
+    """
+    levels = [runs.select("worker_id", F.col("run").alias("node"), "own")]
+    top = runs.agg(F.max("run")).first()[0] or 0
+    while top > 0:
+        group = F.floor(F.col("node") / FAN).alias("node")
+        nodes = F.array_sort(F.collect_list(F.struct((-F.col("node")).alias("back"), "own")))
+        levels.append(levels[-1].groupBy("worker_id", group).agg(nodes.alias("nodes")).withColumn("own", _latest(F.col("nodes.own"))))
+        top //= FAN
+    before = levels[-1].select("worker_id", "node", F.array().cast("array<string>").alias("stack"))
+    for level in reversed(levels[1:]):
+        earlier = lambda i: F.concat(F.slice(F.col("nodes.own"), i + 2, F.lit(FAN)), F.array("stack"))
+        each = F.transform("nodes", lambda x, i: F.struct((-x["back"]).alias("node"), _latest(earlier(i)).alias("stack")))
+        before = level.join(before, ["worker_id", "node"]).select("worker_id", F.explode(each).alias("x")).select("worker_id", "x.node", "x.stack")
+    return before.withColumnRenamed("node", "run")
 
 
 def access_classes(accesses: DataFrame) -> DataFrame:
     """(worker_id, block, seq, access) for every access.
 
     The log is cut into runs of ``RUN`` positions. A stack holds ``STACK`` blocks at most, so a run is fully known from
-    the blocks last used before it: each run tells its last ``STACK`` blocks, these are merged along a worker, and then
-    all runs are classified independently.
+    the blocks last used before it, and all runs are classified independently.
     """
-    rows = accesses.withColumn("run", F.floor(F.col("seq") / RUN))
-    last = rows.groupBy("worker_id", "run", "block").agg(F.max("seq").alias("last"))
-    last = first_by(last, ["worker_id", "run"], [F.col("last").desc()], "depth", STACK).select("worker_id", "run", "block", "depth")
-    stacks = last.groupBy("worker_id").applyInPandas(_stacks, "worker_id string, run long, place long, block string")
-    return stacks.groupBy("worker_id", "run").cogroup(rows.groupBy("worker_id", "run")).applyInPandas(_classes, "worker_id string, block string, seq long, access string")
+    log = F.array_sort(F.collect_list(F.struct("seq", "block"))).alias("log")
+    runs = accesses.groupBy("worker_id", F.floor(F.col("seq") / RUN).alias("run")).agg(log)
+    own = F.slice(F.array_distinct(F.reverse(F.col("log.block"))), 1, STACK)
+    before = stacks_before(runs.select("worker_id", "run", own.alias("own")))
+
+    def step(state: Column, e: Column) -> Column:
+        place = F.array_position(state["stack"], e["block"])  # from 1; 0 if it is not there
+        access = F.when(place == 0, "admit").when(place <= CAPACITY["hbm"], "hit").otherwise("promote")
+        stack = F.slice(F.concat(F.array(e["block"]), F.array_remove(state["stack"], e["block"])), 1, STACK)
+        return F.struct(stack.alias("stack"), F.array_append(state["seen"], F.struct(e["block"].alias("block"), e["seq"].alias("seq"), access.alias("access"))).alias("seen"))
+
+    start = F.struct("stack", F.array().cast("array<struct<block:string,seq:bigint,access:string>>").alias("seen"))
+    seen = F.aggregate("log", start, step, lambda state: state["seen"])
+    return runs.join(before, ["worker_id", "run"]).select("worker_id", F.explode(seen).alias("x")).select("worker_id", "x.*")
 
 
 @query("lru_access_class", S.sql("""SELECT worker_id, block, seq, CASE WHEN prev IS NULL OR d >= 56 THEN 'admit' WHEN d < 8 THEN 'hit' ELSE 'promote' END AS access FROM (

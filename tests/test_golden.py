@@ -175,6 +175,7 @@ def test_removals_and_clears(spark):
 
 def test_access_classes_match_a_plain_cascade(spark, monkeypatch):
     monkeypatch.setattr(tiers, "RUN", 37)
+    monkeypatch.setattr(tiers, "FAN", 3)  # three levels of runs
     rng = random.Random(3)
     log = [(f"w{rng.randrange(2)}", f"b{int(rng.paretovariate(0.7)) % 90}", i) for i in range(900)]
     stacks: dict[str, list[str]] = {}
