@@ -160,15 +160,30 @@ def slot_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("request_id", "token_index", (F.col("first_k") * 64 + F.col("token_index")).alias("slot"))
 
 
-@query("bench_workload", """
-SELECT concat('req-', CAST(r AS VARCHAR)) AS request_id, i AS pos, CASE WHEN i < 4 THEN concat('shared-', CAST(r % 5 AS VARCHAR), '-', CAST(i AS VARCHAR)) ELSE concat('unique-', CAST(r AS VARCHAR), '-', CAST(i AS VARCHAR)) END AS block_hash
-FROM range(50) t(r), range(6) u(i)""")
-def bench_workload(spark: SparkSession, sf: str, requests: int = 50, shared: int = 4, unique: int = 2) -> DataFrame:
-    """A synthetic index workload: requests that share their leading blocks in five groups."""
-    rows = spark.range(requests).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shared + unique - 1).cast("long"))).alias("pos"))
-    common = F.format_string("shared-%d-%d", F.col("r") % 5, "pos")
-    own = F.format_string("unique-%d-%d", "r", "pos")
-    return rows.select(F.format_string("req-%d", "r").alias("request_id"), "pos", F.when(F.col("pos") < shared, common).otherwise(own).alias("block_hash"))
+#: The size of the index benchmark's workload.
+BENCH_REQUESTS, BENCH_SHARED, BENCH_OWN, BENCH_BYTES = 2000, 16, 4, 4 << 20
+PUTS_SQL = """SELECT concat('req-', CAST(r AS VARCHAR)) AS request_id, i AS pos, CASE WHEN i < 16 THEN concat('shared-', CAST(i AS VARCHAR)) ELSE concat('uniq-', CAST(r AS VARCHAR), '-', CAST(i - 16 AS VARCHAR)) END AS block_hash,
+CASE WHEN i < 16 THEN concat('sp-', CAST(i AS VARCHAR)) ELSE concat('uq-', CAST(r AS VARCHAR), '-', CAST(i - 16 AS VARCHAR)) END AS prefix_hash, r * 20 + i AS seq FROM range(2000) t(r), range(20) u(i)"""
+
+
+def bench_puts(spark: SparkSession, requests: int = BENCH_REQUESTS, shared: int = BENCH_SHARED, own: int = BENCH_OWN) -> DataFrame:
+    """The puts of the index benchmark in order: all requests share their leading blocks, the others are their own."""
+    rows = spark.range(requests).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shared + own - 1).cast("long"))).alias("pos"))
+    named = lambda both, one: F.when(F.col("pos") < shared, F.format_string(f"{both}-%d", "pos")).otherwise(F.format_string(f"{one}-%d-%d", "r", F.col("pos") - shared))
+    seq = (F.col("r") * (shared + own) + F.col("pos")).alias("seq")
+    return rows.select(F.format_string("req-%d", "r").alias("request_id"), "pos", named("shared", "uniq").alias("block_hash"), named("sp", "uq").alias("prefix_hash"), seq)
+
+
+@query("bench_workload", f"SELECT request_id, pos, block_hash, prefix_hash, seq FROM ({PUTS_SQL}) p")
+def bench_workload(spark: SparkSession, sf: str) -> DataFrame:
+    return bench_puts(spark)
+
+
+@query("bench_residency", f"SELECT prefix_hash, block_hash, max(pos) AS block_index, max(seq) AS put_seq, CAST(4194304 AS BIGINT) AS bytes, count(*) AS puts FROM ({PUTS_SQL}) p GROUP BY 1, 2")
+def bench_residency(spark: SparkSession, sf: str) -> DataFrame:
+    """What the index holds after the benchmark's puts: the last put of each block."""
+    last = bench_puts(spark).groupBy("prefix_hash", "block_hash").agg(F.max(F.struct("seq", "pos")).alias("x"), F.count("*").alias("puts"))
+    return last.select("prefix_hash", "block_hash", F.col("x.pos").alias("block_index"), F.col("x.seq").alias("put_seq"), F.lit(BENCH_BYTES).cast("long").alias("bytes"), "puts")
 
 
 @query("fp8_bytes", """SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(round_even(greatest(-448.0, least(448.0, l_extendedprice / 100.0)), 0) AS BIGINT) & 255 AS BIGINT) AS code FROM lineitem""")

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 
 import pandas as pd
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cachefold.functions import columns as C
 from cachefold.functions.frames import with_position
 from cachefold.operators import blocks, cosched, identity, index, planner, prefix, store, telemetry, tiers
 from cachefold.sources import tables as S
+from cachefold.streaming import delivery
 
 WORKERS = "worker_id string, ord long, role string, locality_domain string, hbm_capacity_bytes long, hbm_used_bytes long, queued_prefill_tokens long, running_decodes long"
 RESIDENT = "worker_id string, tenant_id string, adapter_id string, prefix_hash string, block_hash string, block_index long, token_count long, tier string, put_seq long, bytes long"
@@ -395,3 +398,29 @@ def test_epochs_replay_one_after_the_other(spark, sf):
         held = pd.concat([held, pd.DataFrame(puts)]).sort_values("put_seq").drop_duplicates(["worker_id", "tenant_id", "adapter_id", "prefix_hash", "block_hash", "block_index", "token_count", "tier"], keep="last")[held.columns]
     got = {r.request_id: (r.worker_id, r.local_hits, r.transfers, r.recomputes, r.epoch) for r in planner.route_in_epochs(spark, sf).collect()}
     assert got == want
+
+
+def test_rejected_batches_fail_open_or_stop_the_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(f"r{i}", "w", i) for i in range(6)], "request_id string, worker_id string, ord long")
+    events = delivery.decision_events(rows)
+    # The planned events come in the first batch, the committed ones in the second.
+    for phase in delivery.PHASES:
+        events.where(f"phase = '{phase}'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got: dict[int, list[str]] = {}
+
+    def picky(batch_rows, batch):
+        if batch == 1:
+            raise OSError("no")
+        got[batch] = [r.body for r in batch_rows.collect()]
+
+    def run(name, sink, **how):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return {(r.told, r.delivery) for r in delivery.deliver(stream, sink, str(tmp_path / name), str(tmp_path / f"{name}-state"), **how).collect()}
+
+    assert run("none", None) == {(2, "disabled")}
+    assert run("open", picky) == {(2, "failed")} and list(got) == [0]
+    body = sorted(map(json.loads, got[0]), key=lambda e: e["route"]["ord"])[0]
+    assert (body["schema_version"], body["route"]) == (1, {"request_id": "r0", "worker_id": "w", "ord": 0}) and body["phase"] in delivery.PHASES
+    with pytest.raises(StreamingQueryException):
+        run("shut", picky, fail_open=False)
+    assert run("shut", lambda batch_rows, batch: None, fail_open=False) == {(2, "sent")}
