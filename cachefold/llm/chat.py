@@ -3,7 +3,8 @@
 A conversation logged after every turn leaves snapshots that are prefixes of the final one. Each turn gets a 128-bit
 hash of its position, role and text; the exclusive or of the first k of them is the rolling hash of the k-turn prefix.
 Conversations whose whole hash is a proper prefix of another one are removed by an anti-join, equal ones keep the
-smallest conv_id, and what stays is rendered.
+smallest conv_id, and what stays is rendered. Equal hashes of equal length are taken as equal prefixes; texts are not
+compared again (two given prefixes that differ agree with a probability of about 2**-128, unless made to).
 
 All turns are dealt into ranges of (conv_id, turn, role, text) of about one size, so a conversation that holds many of
 them spans many ranges. Turns are numbered in two levels, inside ranges and over them, and rendered ``PART`` turns a row,
